@@ -71,3 +71,22 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     joined = joined.join(cold, [*keys, "_deal"], "left")
     found = F.coalesce("_hot", "_cold")
     return joined.select(*rows.columns, *(found[c].alias(c) for c in values))
+
+
+def map_rows(df: DataFrame, columns: list[str], schema: str, make) -> DataFrame:
+    """mapInArrow over columns: make() gives, once a task, a function from a tuple of column lists to output column lists."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    spark = df.sparkSession  # the parser needs a session
+    assert spark is not None
+    target = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            out = work(*(batch.column(i).to_pylist() for i in range(batch.num_columns)))
+            yield pa.RecordBatch.from_arrays([pa.array(values, type=field.type) for values, field in zip(out, target, strict=True)], schema=target)
+
+    return df.select(*columns).mapInArrow(run, schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, packing, pii, quality_rules, token_counts, url_filters
+from . import byte_bpe, exact_dedup, packing, pii, quality_rules, token_counts, url_filters, warc
 
 #: The rules of the URL query: (host, path, verdict).
 URL_RULES = (
@@ -37,6 +37,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), tokenizer_pattern(), rule="largest")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(table(spark, sf_dir, "pages"), min_payload=0)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = url_filters.rule_table(spark, URL_RULES)
     return url_filters.url_filter(table(spark, sf_dir, "pages"), rules)
@@ -66,6 +71,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op3_warc": op3_warc,
     "op5_url_filters": op5_url_filters,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_exact_dedup": op7_exact_dedup,

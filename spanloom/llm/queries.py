@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, packing, pii, quality_rules, token_counts, url_filters, warc
+from . import byte_bpe, exact_dedup, ngram_join, packing, pii, quality_rules, token_counts, url_filters, warc
 
 #: The rules of the URL query: (host, path, verdict).
 URL_RULES = (
@@ -42,6 +42,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = url_filters.rule_table(spark, URL_RULES)
     return url_filters.url_filter(table(spark, sf_dir, "pages"), rules)
@@ -72,6 +76,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_warc": op3_warc,
+    "op4_ngram_join": op4_ngram_join,
     "op5_url_filters": op5_url_filters,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_exact_dedup": op7_exact_dedup,

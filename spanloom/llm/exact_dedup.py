@@ -15,19 +15,22 @@ from .common import join_groups, staged, text_or_empty, without_spaces
 
 #: Characters of the normalised text under the prefix hash.
 PREFIX = 64
+#: Groups of length and prefix (20 bytes each) that are sent to all executors.
+FEW_GROUPS = 200_000
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", prefix: int = PREFIX, all_digests: bool = False) -> DataFrame:
-    """One row per document: id, keep_id, group_size, kept and text_sha256 of the normalised text.
+    """One row per document: id, keep_id, group_size, kept, text_sha256 of the normalised text, and n_points (the text's code points).
 
     The first pass keeps the id, the number of code points, the length and a prefix hash. Rows alone with their length and prefix
-    are settled there. Only the others have their full text hashed, in a second pass from which just
+    are settled there. Only the others need their full text, in a second pass from which just
     32 bytes a row travel. With all_digests every text is hashed (the caller wants the digests), in the first pass.
     text_sha256 is null for settled rows otherwise. Equal SHA-256 counts as equal text.
     """
     body = text_or_empty(text)
     norm = without_spaces(body)
-    full = F.unhex(F.sha2(F.encode(norm, "UTF-8"), 256))
+    full_of = lambda text: F.unhex(F.sha2(F.encode(text, "UTF-8"), 256))
+    full = full_of(norm)
     if id_col in ("n_points", "n_norm", "n_prefix", "digest", "kept", "keep_id", "group_size"):
         raise ValueError(f"{id_col} is the name of a result column")
     first = docs.select(
@@ -47,9 +50,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", pre
     if all_digests:
         rows, key = first, ["n_norm", "n_prefix", "digest"]
     else:
-        again = docs.select(F.col(id_col), F.length(body).alias("n_points"), F.length(norm).alias("n_norm"), F.xxhash64(F.substring(norm, 1, prefix)).alias("n_prefix"), full.alias("digest"))
-        open_ = join_groups(again, by_prefix, ["n_norm", "n_prefix"], "n_same", total, spread)
-        rows = staged(open_.withColumn("digest", F.when(F.col("n_same").isNotNull(), F.col("digest"))).drop("n_same"), "exact-open")
+        again = docs.select(F.col(id_col), F.length(body).alias("n_points"), F.length(norm).alias("n_norm"), F.xxhash64(F.substring(norm, 1, prefix)).alias("n_prefix"), norm.alias("norm"))
+        by_prefix = staged(by_prefix, "exact-prefix")
+        if by_prefix.count() <= FEW_GROUPS:  # few enough to send everywhere: only texts of open groups are hashed, and none travels
+            open_ = again.join(F.broadcast(by_prefix), ["n_norm", "n_prefix"], "left").withColumn("digest", F.when(F.col("n_same").isNotNull(), full_of(F.col("norm")))).drop("norm")
+        else:  # texts are hashed where they are read, so that only hashes travel
+            hashed = again.withColumn("digest", full_of(F.col("norm"))).drop("norm")
+            open_ = join_groups(hashed, by_prefix, ["n_norm", "n_prefix"], "n_same", total, spread)
+            open_ = open_.withColumn("digest", F.when(F.col("n_same").isNotNull(), F.col("digest")))
+        rows = staged(open_.drop("n_same"), "exact-open")
         key = ["n_norm", "n_prefix", "digest"]
 
     # full hash: the row that stays is the smallest of (-code points, id)
@@ -63,4 +72,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", pre
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (F.col("group_size").isNull() | (F.col("keep_id").eqNullSafe(F.col(id_col)) & (F.col("_m") == -F.col("n_points")))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        "n_points",
     )

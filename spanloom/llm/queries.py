@@ -60,7 +60,8 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), all_digests=True)
+    found = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), all_digests=True)
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

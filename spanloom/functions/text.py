@@ -11,6 +11,7 @@ from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Letters, digits and the underscore of any script.
 WORD = r"[\p{L}\p{N}_]"
@@ -45,10 +46,13 @@ def strip_quotes(text: Column) -> Column:
     return F.translate(text, "\"'", "")
 
 
-@F.pandas_udf("string")
-def nfkc(texts):
-    """Compatibility normal form; ASCII texts pass through."""
-    return texts.map(lambda t: t if t.isascii() else unicodedata.normalize("NFKC", t), na_action="ignore")
+def nfkc(text: Column) -> Column:
+    """Compatibility normal form, which has no built-in; ASCII texts pass through."""
+
+    def form(texts):
+        return texts.map(lambda t: t if t.isascii() else unicodedata.normalize("NFKC", t), na_action="ignore")
+
+    return F.pandas_udf(form, T.StringType())(text)
 
 
 def normalize(text: Column) -> Column:

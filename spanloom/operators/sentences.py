@@ -27,7 +27,8 @@ def split_sentences(text: Column, quotes: bool = False) -> Column:
         x = strip_quotes(x)
     x = F.replace(x, F.lit("..."), F.lit(" <ELLIPSIS> "))
     x = F.regexp_replace(x, r"([.!?])\s+", "$1\x01")
-    x = F.regexp_replace(x, rf"(?i)\b({_GUARD})\.\x01", "$1. ")
+    for _ in range(2):  # neighbours share the character between them, so every second one is left to the second turn
+        x = F.regexp_replace(x, rf"(?i)(^|[^\p{{L}}\p{{N}}_])({_GUARD})\.\x01", "$1$2. ")
     cleaned = F.transform(F.split(x, "\x01"), lambda s: F.trim(F.regexp_replace(F.replace(s, F.lit("<ELLIPSIS>"), F.lit("...")), r"\s+", " ")))
     return F.transform(F.filter(cleaned, lambda s: s != ""), lambda s: F.when(s.rlike(r"[.!?]$"), s).otherwise(F.concat(s, F.lit("."))))
 

@@ -93,7 +93,7 @@ def vocabulary_matches(vocabulary: DataFrame, cutoff: float = 92.0, longest: int
     words = vocabulary.select("token").distinct().withColumn("n", F.length("token"))
     levels = [F.array("token")]
     for i in range(1, int(longest * share) + 1):
-        shorter = F.array_distinct(F.flatten(F.transform(levels[-1], lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda j, s=s: F.concat(F.substr(s, F.lit(1), j - 1), F.substr(s, j + 1))))))
+        shorter = F.array_distinct(F.flatten(F.transform(levels[-1], lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda j: F.concat(F.substr(s, F.lit(1), j - 1), F.substr(s, j + 1))))))
         levels.append(F.when(F.col("n") * share >= i, shorter).otherwise(F.array().cast("array<string>")))
     short = words.where(F.col("n") <= longest).select("token", F.explode(F.array_distinct(F.flatten(F.array(*levels)))).alias("key"))
     # long tokens, and those short enough to meet them: every substring of the size of one of the long one's parts

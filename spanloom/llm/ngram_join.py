@@ -6,10 +6,10 @@ k shingles among the first n - ceil(3n/4) + k; with k = 2 the index takes single
 pairs of shingles of the frequent class. Sets of over COMBINED shingles would have too many pairs: they index
 frequent shingles singly, and sets up to 4/3 of that size do both, so any two that may link meet in one way.
 
-Candidates are not all pairs that share an entry. First each set meets one member of its entries, and links found are
-closed to components. Only pairs from different components are then formed, counted over all their
-common entries, dropped if the count proves them too far apart, and verified on the full sets. No link between
-different components is lost, so the components are exact.
+Candidates are not all pairs that share an entry. In rounds each set meets one member of its entries, and links found are
+closed to components. Only pairs from different components are then formed, as far as parity sketches of a fixed size
+allow them, counted over all their common entries, dropped if the count proves them too far apart, and
+verified on the full sets. No link between different components is lost, so the components are exact.
 
 Equal sets are one item throughout. Hashes count as the shingles: a collision within a pair is as likely as
 (n^2 / 2^64). Equal 64-bit names of different sets are looked for, and another seed is taken if there are any.
@@ -37,6 +37,12 @@ BLOCKS = 64
 #: A shingle is frequent if its sketch count is at least so much, and so many times the mean.
 FREQUENT, FREQUENT_MEANS = 16, 8
 COMBINED = 64
+#: Words of 64 bits of a set's parity sketch.
+PARITY = 8
+#: Rounds in which each set meets one member of its entries, before pairs are formed.
+STAR_ROUNDS = 4
+#: Items (16 bytes each) whose list is sent to all executors instead of shuffling the texts.
+FEW_ITEMS = 200_000
 
 
 class WordHashes(dict):
@@ -86,42 +92,50 @@ def index_entries(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Bits that are set where an odd number of shingles fall; the bits in which two sets differ are at most as many as the shingles in which they do."""
+    at = (hashes >> np.uint64(20)) % np.uint64(64 * PARITY)
+    odd = np.bincount(at.astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
 def describe(docs: DataFrame, id_col: str, text: str, width: int) -> tuple[DataFrame, np.ndarray, int]:
-    """(id, n, item) of all documents, the sketch's classes, and the seed of the items' names."""
+    """(id, n, item, bits) of all documents, the sketch's classes, and the seed of the items' names."""
     def run(batches, seed):
         import pyarrow as pa
         import xxhash
 
         words, counts = WordHashes(), np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
-        names = ["id", "n", "item", "proof", "block", "counts"]
+        names = ["id", "n", "item", "bits", "proof", "block", "counts"]
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            sizes, items, proofs = [], [], []
+            sizes, items, bits, proofs = [], [], [], []
             for t in batch.column(1).to_pylist():
                 hashes = shingle_set(t, words, width)
                 np.add.at(counts, _bucket(hashes), np.uint32(1))
                 data = hashes.tobytes()
                 sizes.append(len(hashes))
                 items.append(xxhash.xxh3_64_intdigest(data, seed=seed))
+                bits.append(parity(hashes))
                 proofs.append(xxhash.xxh3_128_digest(data))
             n = len(ids)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(items, dtype=np.uint64).view(np.int64)), pa.array(proofs, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(items, dtype=np.uint64).view(np.int64)), pa.array(bits, pa.list_(pa.int64())), pa.array(proofs, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
                 names=names,
             )
         blocks = counts.reshape(BLOCKS, -1)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.binary()), pa.array(range(BLOCKS), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())],
+            [pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.list_(pa.int64())), pa.nulls(BLOCKS, pa.binary()), pa.array(range(BLOCKS), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())],
             names=names,
         )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     for seed in range(8):
-        made = staged(rows.mapInArrow(lambda batches, seed=seed: run(batches, seed), "id long, n long, item long, proof binary, block int, counts binary"), "ngram-sets")
+        made = staged(rows.mapInArrow(lambda batches, seed=seed: run(batches, seed), "id long, n long, item long, bits array<long>, proof binary, block int, counts binary"), "ngram-sets")
         sets = made.where("block is null")
         clash = sets.groupBy("item").agg(F.min("proof").alias("a"), F.max("proof").alias("b")).where("a <> b")
         if clash.isEmpty():
@@ -141,7 +155,7 @@ def describe(docs: DataFrame, id_col: str, text: str, width: int) -> tuple[DataF
     counts = counts.reshape(-1)
     least = max(FREQUENT, FREQUENT_MEANS * float(counts.mean()))
     classes = np.where(counts >= least, 1 + np.log2(np.maximum(counts / least, 1)), 0).astype(np.uint8)
-    return sets.select("id", "n", "item"), classes, seed
+    return sets.select("id", "n", "item", "bits"), classes, seed
 
 
 def index_rows(docs: DataFrame, classes: np.ndarray, seed: int, id_col: str, text: str, width: int) -> DataFrame:
@@ -218,23 +232,24 @@ def shared_entries(rows: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of items whose sets (item, hashes) are similar enough; joins are split by the planner where an item is in many pairs."""
+    """The pairs (a, b, la, lb) of items and their labels whose sets (item, hashes) are similar enough; joins are split by the planner where an item is in many pairs."""
+    names = ["a", "b", "la", "lb"]
 
     def linked(batches):
         import pyarrow as pa
 
         for batch in batches:
             keep = []
-            left, right = batch.column("x"), batch.column("y")
+            left, right = batch.column(4), batch.column(5)
             for i in range(batch.num_rows):
                 x, y = np.frombuffer(left[i].as_buffer(), dtype=np.uint64), np.frombuffer(right[i].as_buffer(), dtype=np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(DEN * common >= NUM * (len(x) + len(y) - common))
-            chosen = np.array(keep, dtype=bool)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(chosen)), batch.column("b").filter(pa.array(chosen))], names=["a", "b"])
+            chosen = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(chosen) for i in range(4)], names=names)
 
     both = pairs.join(sets.select(F.col("item").alias("b"), F.col("hashes").alias("y")), "b").join(sets.select(F.col("item").alias("a"), F.col("hashes").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(linked, "a long, b long")
+    return both.select(*names, "x", "y").mapInArrow(linked, "a long, b long, la long, lb long")
 
 
 def set_bytes(docs: DataFrame, needed: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
@@ -250,9 +265,30 @@ def set_bytes(docs: DataFrame, needed: DataFrame, id_col: str, text: str, width:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t, words, width).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["item", "hashes"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text).alias("text"))
-    # one row an item, should an id be repeated
-    found = texts.join(needed, "rep").select("item", "text").mapInArrow(run, "item long, hashes binary")
-    return found
+    needed = staged(needed, "ngram-needed")
+    if needed.count() <= FEW_ITEMS:  # no text travels
+        needed = F.broadcast(needed)
+    return texts.join(needed, "rep").select("item", "text").mapInArrow(run, "item long, hashes binary").dropDuplicates(["item"])
+
+
+def relabelled(rows: DataFrame, tied: DataFrame) -> DataFrame:
+    """rows (entry, item, n, label) with the labels that tied (node, component) gives, without entries that are of one label."""
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n_rows"))
+    names = tied.select(F.col("node").alias("label"), "component").join(sizes, "label")
+    rows = join_groups(rows, names, ["label"], "n_rows", rows.count(), F.struct("entry", "item"))
+    rows = staged(rows.select("entry", "item", "n", F.coalesce("component", "label").alias("label")), "ngram-labelled")
+    several = rows.groupBy("entry").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("entry")
+    return staged(rows.join(several, "entry", "left_semi"), "ngram-open")
+
+
+def stars(rows: DataFrame, seed: int) -> DataFrame:
+    """(a, b, la, lb): each item b with the leader a of another label that it shares most entries with; an entry's leader is drawn by the seed."""
+    drawn = F.min(F.struct(F.xxhash64("item", F.lit(seed)).alias("h"), "item", "n", "label"))
+    led = rows.join(rows.groupBy("entry").agg(drawn.alias("lead")), "entry")
+    met = led.where(F.col("label") != F.col("lead.label")).where(close_enough("n", "lead.n"))
+    shared = met.groupBy(F.col("lead.item").alias("a"), F.col("item").alias("b")).agg(F.count("*").alias("c"), F.max("lead.label").alias("la"), F.max("label").alias("lb"), F.max(F.least("n", "lead.n")).alias("n"))
+    best = shared.where("c * 20 >= n").groupBy("b").agg(F.max(F.struct("c", "a", "la", "lb")).alias("m"))
+    return best.select("m.a", "b", "m.la", "m.lb")
 
 
 def close_enough(a: str, b: str):
@@ -263,49 +299,57 @@ def close_enough(a: str, b: str):
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """Per document: id, n_shingles and component_id, the least id reachable over links."""
     sets, classes, seed = describe(docs, id_col, text, width)
-    items = staged(sets.where("n > 0").groupBy("item").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("n_docs")), "ngram-items")
+    items = staged(sets.where("n > 0").groupBy("item").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("n_docs"), F.first("bits").alias("bits")), "ngram-items")
     multi = staged(shared_entries(index_rows(docs, classes, seed, id_col, text, width)), "ngram-entries")
 
-    # first round: each item and the leaders it shares most entries with
-    stars = multi.where("item <> leader").where(close_enough("n", "leader_n")).groupBy(F.col("item").alias("b"), F.col("leader").alias("a")).agg(F.count("*").alias("c"), F.max(F.least("n", "leader_n")).alias("n"))
-    stars = staged(stars.where("c * 20 >= n").groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"), "ngram-stars")
+    links: list[DataFrame] = []
+    held: DataFrame | None = None
 
-    def links_of(pairs: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    def check(pairs: DataFrame) -> DataFrame:
+        """The links among the pairs; sets are fetched once."""
+        nonlocal held
+        pairs = staged(pairs, "ngram-pairs")
         needed = pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct()
-        if known is not None:
-            needed = needed.join(known.select("item"), "item", "left_anti")
-        needed = needed.join(items.select("item", "rep"), "item")
-        held = staged(set_bytes(docs, needed, id_col, text, width).dropDuplicates(["item"]), "ngram-hashes")
-        held = held if known is None else known.unionByName(held)
-        return verified(pairs, held), held
-
-    links, held = links_of(stars, None)
-    links = staged(links, "ngram-links")
-    tied = staged(components(links), "ngram-tied")
-
-    # second round: pairs of different components, counted over all their entries
-    label = tied.select(F.col("node").alias("item"), F.col("component").alias("label"), F.lit(1).alias("n_rows"))
-    rows = multi.select("entry", "item", "n").join(label.select("item", "label"), "item", "left").withColumn("label", F.coalesce("label", "item"))
-    rows = staged(rows, "ngram-labelled")
-    open_ = rows.groupBy("entry").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("entry")
-    rows = staged(rows.join(open_, "entry", "left_semi"), "ngram-open")
-    one, two = rows.select("entry", *(F.col(c).alias(f"{c}1") for c in ("item", "n", "label"))), rows.select("entry", *(F.col(c).alias(f"{c}2") for c in ("item", "n", "label")))
-    met = one.join(two, (one["entry"] == two["entry"]) & (one["item1"] < two["item2"]) & (one["label1"] != two["label2"]) & close_enough("n1", "n2"))
+        if held is not None:
+            needed = needed.join(held.select("item"), "item", "left_anti")
+        more = staged(set_bytes(docs, needed.join(items.select("item", "rep"), "item"), id_col, text, width), "ngram-hashes")
+        held = more if held is None else held.unionByName(more)
+        links.append(staged(verified(pairs, held), "ngram-links"))
+        return links[-1]
+
+    # each item and one other: first the entries' first items, then leaders drawn among what is still apart
+    met = multi.where("item <> leader").where(close_enough("n", "leader_n")).groupBy(F.col("item").alias("b"), F.col("leader").alias("a")).agg(F.count("*").alias("c"), F.max(F.least("n", "leader_n")).alias("n"))
+    pairs = met.where("c * 20 >= n").groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select(F.col("m.a").alias("a"), "b", F.col("m.a").alias("la"), F.col("b").alias("lb"))
+    rows = multi.select("entry", "item", "n", F.col("item").alias("label"))
+    for turn in range(STAR_ROUNDS):
+        found = check(pairs)
+        rows = relabelled(rows, components(found.select(F.col("la").alias("a"), F.col("lb").alias("b"))))
+        if found.count() * 50 < rows.select("item").distinct().count():
+            break  # no hot group is left to close
+        pairs = stars(rows, turn)
+
+    # pairs of different labels that the parity sketches allow, counted over all their entries
+    rows = rows.join(items.select("item", "bits"), "item")
+    one, two = (rows.select("entry", *(F.col(c).alias(f"{c}{i}") for c in ("item", "n", "label", "bits"))) for i in (1, 2))
+    differ = sum(F.bit_count(F.get("bits1", F.lit(i)).bitwiseXOR(F.get("bits2", F.lit(i)))) for i in range(PARITY))
+    size = F.col("n1") + F.col("n2")
+    overlap = F.ceil(size * NUM / (NUM + DEN))
+    met = one.join(two, (one["entry"] == two["entry"]) & (one["item1"] < two["item2"]) & (one["label1"] != two["label2"]) & close_enough("n1", "n2") & (differ <= size - 2 * overlap))
     odd = one["entry"].bitwiseAND(F.lit(1))
-    counted = met.groupBy(F.col("item1").alias("a"), F.col("item2").alias("b")).agg(F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.sum(1 - odd).alias("singles"), F.sum(odd).alias("pairs"))
+    counted = met.groupBy(F.col("item1").alias("a"), F.col("item2").alias("b")).agg(*(F.max(c).alias(c) for c in ("n1", "n2", "label1", "label2")), F.sum(1 - odd).alias("singles"), F.sum(odd).alias("pairs"))
     # at most so many of the first shingles are common; what lies behind them can add no more than its number
     frequent = F.when(F.col("pairs") == 0, 1).otherwise(F.ceil((1 + F.sqrt(1 + 8 * F.col("pairs"))) / 2))
     first = lambda n: F.least(F.col(n), F.col(n) - F.ceil(F.col(n) * NUM / DEN) + 2)
-    overlap = F.ceil((F.col("n1") + F.col("n2")) * NUM / (NUM + DEN))
     behind = F.greatest(F.col("n1") - first("n1"), F.col("n2") - first("n2"))
-    pairs = staged(counted.where(F.col("singles") + frequent >= overlap - behind).select("a", "b"), "ngram-pairs")
-    more, _ = links_of(pairs, held)
-    links = links.unionByName(staged(more, "ngram-more"))
+    check(counted.where(F.col("singles") + frequent >= overlap - behind).select("a", "b", F.col("label1").alias("la"), F.col("label2").alias("lb")))
 
+    every = links[0]
+    for more in links[1:]:
+        every = every.unionByName(more)
     ids = items.select("item", "rep")
-    edges = links.join(ids.select(F.col("item").alias("a"), F.col("rep").alias("ra")), "a").join(ids.select(F.col("item").alias("b"), F.col("rep").alias("rb")), "b")
+    edges = every.join(ids.select(F.col("item").alias("a"), F.col("rep").alias("ra")), "a").join(ids.select(F.col("item").alias("b"), F.col("rep").alias("rb")), "b")
     tied = staged(components(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b"))), "ngram-components")
     named = items.join(tied.select(F.col("node").alias("rep"), "component"), "rep", "left").select("item", "n_docs", F.coalesce("component", "rep").alias("component"))
-    out = join_groups(sets, named, ["item"], "n_docs", sets.count(), F.col("id"))
+    out = join_groups(sets.select("id", "n", "item"), named, ["item"], "n_docs", sets.count(), F.col("id"))
     kind = docs.schema[id_col].dataType
     return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").cast(kind).alias("component_id"))

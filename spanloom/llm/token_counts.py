@@ -49,17 +49,18 @@ def token_counts(docs: DataFrame, path: str, pattern: str, rule: str = "largest"
         def work(keys, texts):
             out = [[], [], [], [], [], []]
             for key, t, ids in zip(keys, texts, encoder.encode(texts), strict=True):
-                lines = (t or "").split("\n")
-                lines = [x + "\n" for x in lines[:-1]] + lines[-1:]
-                points = np.cumsum([len(x) for x in lines])
-                ends = np.cumsum([len(x.encode()) for x in lines])
+                data = np.frombuffer((t or "").encode(), dtype=np.uint8)
+                ends = np.append(np.flatnonzero(data == 10) + 1, len(data))
+                points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[ends]  # of characters, not bytes
                 token_ends = np.cumsum(sizes[ids])
                 place = allocate(token_ends, ends, rule)
                 starts = token_ends - np.diff(token_ends, prepend=0)
                 crossing = np.searchsorted(ends, token_ends, side="left") > np.searchsorted(ends, starts, side="right")
-                n = len(lines)
-                for column, values in zip(out, ([key] * n, range(n), points - [len(x) for x in lines], points, np.bincount(place, minlength=n), np.bincount(place[crossing], minlength=n)), strict=True):
-                    column.extend(values.tolist() if isinstance(values, np.ndarray) else values)
+                n = len(ends)
+                out[0] += [key] * n
+                for column, values in zip(out[1:], (np.arange(n), np.concatenate(([0], points[:-1])), points, np.bincount(place, minlength=n), np.bincount(place[crossing], minlength=n)), strict=True):
+                    column.append(values)
+            out[1:] = [np.concatenate(column) if column else column for column in out[1:]]
             return out
 
         return work

@@ -14,17 +14,22 @@ from __future__ import annotations
 
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .byte_bpe import REMEMBERED
 from .common import map_rows, staged
 
 CAPACITY = 4096
 #: Parts that the pieces of one length are numbered in.
 DEALS = 128
+#: Chunks, and words, that a task remembers.
+REMEMBERED = 500_000
+#: Chunks of texts that are encoded together.
+AT_ONCE = 300_000
 
 
 class OpenRuns:
@@ -91,19 +96,64 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return rows
 
 
+#: How the tokenizer cuts a lower-cased chunk into words.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class ChunkMemory(dict):
-    """The ids, as little-endian bytes, of parts between ASCII white space, which the tokenizer drops."""
+    """The ids, as little-endian bytes, of parts between ASCII white space, which the tokenizer drops.
+
+    Chunks of Latin-1 characters have no other normal form and lower-case letter by letter, so they are cut into the
+    tokenizer's words, which are far fewer, and these are encoded; other chunks are encoded as they are.
+    """
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.words, self.cut = tokenizer, {}, regex.compile(WORDS).findall
+        names = tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(names.values()) + 1, dtype=bool)
+        self.last[[i for name, i in names.items() if name.endswith("</w>")]] = True
+
+    def _encode(self, texts: list[str]) -> dict[str, bytes]:
+        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return {text: np.array(x.ids, dtype="<u4").tobytes() for text, x in zip(texts, got, strict=True)}
+
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Many words are encoded as one text, as ids that end a word tell them apart again."""
+        out = {}
+        for at in range(0, len(words), 1000):
+            group = words[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = 4 * (np.flatnonzero(self.last[ids]) + 1)
+            if len(stops) == len(group):
+                data = ids.tobytes()
+                out.update(zip(group, map(data.__getitem__, map(slice, [0, *stops[:-1].tolist()], stops.tolist())), strict=True))
+            else:
+                out.update(self._encode(group))
+        return out
 
     def fill(self, chunks: set[bytes]) -> None:
-        if len(self) + len(chunks) > REMEMBERED:
+        new = chunks.difference(self)
+        if len(self) + len(new) > REMEMBERED:
             self.clear()
-        new = [c for c in chunks if c not in self]
-        for chunk, got in zip(new, self.tokenizer.encode_batch([c.decode() for c in new], add_special_tokens=False), strict=True):
-            self[chunk] = np.array(got.ids, dtype="<u4").tobytes()
+            new = chunks
+        cut, whole = {}, {}
+        for chunk in new:
+            text = chunk.decode()
+            if text.isascii() or max(text) < "\u0100":
+                cut[chunk] = self.cut(text.lower())
+            else:
+                whole[text] = chunk
+        words = set(chain.from_iterable(cut.values()))
+        unknown = words.difference(self.words)
+        if len(self.words) + len(unknown) > REMEMBERED:
+            self.words.clear()
+            unknown = words
+        self.words.update(self._encode_words(list(unknown)))
+        for chunk, found in cut.items():
+            self[chunk] = self.words[found[0]] if len(found) == 1 else b"".join(map(self.words.__getitem__, found))
+        for text, ids in self._encode(list(whole)).items():
+            self[whole[text]] = ids
 
 
 @lru_cache(maxsize=2)
@@ -125,11 +175,19 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, closing: int =
         memory = ChunkMemory(_tokenizer(path))
         end = np.array([closing], dtype="<u4").tobytes()
 
+        def in_groups(texts):
+            at = 0
+            while at < len(texts):
+                group, size = [], 0
+                while at < len(texts) and size < AT_ONCE:
+                    group.append((texts[at] or "").encode().split())
+                    size, at = size + len(group[-1]), at + 1
+                memory.fill(set(chain.from_iterable(group)))
+                yield from group
+
         def work(keys, texts):
             out = [[], [], [], [], []]
-            for key, t in zip(keys, texts, strict=True):
-                chunks = (t or "").encode().split()
-                memory.fill(set(chunks))
+            for key, chunks in zip(keys, in_groups(texts), strict=True):
                 ids = b"".join(map(memory.__getitem__, chunks)) + end
                 for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[start : start + 4 * capacity]

@@ -94,6 +94,39 @@ QUERIES = {
 _SPACES = r"[\x20\x09-\x0D]"
 
 ORACLE_SQL = {
+    "op1_suffix_dedup": """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, CAST(2 * i + 1 AS BIGINT), 200)) AS win FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS i FROM b WHERE n >= 100)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS turn FROM w) WHERE turn > 1),
+marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS opens FROM again),
+islands AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM marked),
+spans AS (SELECT doc_id, island, min(i) AS a, max(i) + 100 AS z FROM islands GROUP BY doc_id, island),
+edges AS (SELECT doc_id, island, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS gone FROM spans),
+sums AS (SELECT doc_id, sum(z - a) AS removed, count(*) AS runs, max(z) AS last FROM spans GROUP BY doc_id),
+kept AS (SELECT b.doc_id, string_agg(substr(h, CAST(2 * gone + 1 AS BIGINT), CAST(2 * (a - gone) AS BIGINT)), '' ORDER BY a) AS head FROM b JOIN edges e ON e.doc_id = b.doc_id GROUP BY b.doc_id)
+SELECT b.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(runs, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM b LEFT JOIN sums ON sums.doc_id = b.doc_id LEFT JOIN kept ON kept.doc_id = b.doc_id
+""",
+    "op3_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, n, h, list_reduce(list_transform(range(0, 8), lambda g: list_reduce(list_transform([15, 10, 5, 0], lambda s:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(h, CAST(1 + 5 * g AS BIGINT), 5) AS INTEGER) >> s) & 31) AS BIGINT), 1)), lambda x, y: x || y)), lambda x, y: x || y) AS digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to FROM f
+""",
+    "op4_ngram_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 5 THEN [array_to_string(t, ' ')] ELSE list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM c JOIN n m ON m.doc_id = a JOIN n o ON o.doc_id = b WHERE 100 * k >= 75 * (m.n + o.n - k)),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen),
+l AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM l LEFT JOIN n ON n.doc_id = node JOIN (SELECT doc_id AS id FROM documents) ON id = node
+""".replace("SELECT doc_id, coalesce(n, 0)", "SELECT id AS doc_id, coalesce(n, 0)"),
     "op5_url_filters": r"""
 WITH parts AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),

@@ -18,12 +18,12 @@ HOT_SHARE = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one is set only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the cluster names in spark.checkpoint.dir; a local one is set only where it is unset, as in tests."""
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
-        path = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-        path = path or "file://" + os.path.join(tempfile.gettempdir(), "spanloom-shared")
-        spark.conf.set("spark.checkpoint.dir", path)
+        context.setCheckpointDir("file://" + os.path.join(tempfile.gettempdir(), "spanloom-shared"))
+        path = context.getCheckpointDir()
     return path.rstrip("/")
 
 

@@ -32,7 +32,7 @@ def audio_info(content: Column) -> Column:
 
         return pd.DataFrame([wav_info(c) for c in contents], columns=["duration_ms", "sample_rate", "channels"])
 
-    return F.pandas_udf(read, T.StructType().add("duration_ms", "long").add("sample_rate", "int").add("channels", "int"))(content)
+    return F.pandas_udf(read, T.StructType().add("duration_ms", T.LongType()).add("sample_rate", T.IntegerType()).add("channels", T.IntegerType()))(content)
 
 
 def samples(content: bytes) -> tuple[np.ndarray, int]:

@@ -21,6 +21,7 @@ earlier; a null id is the earliest. Spans' ranks count as equal if 128 bits agre
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -32,8 +33,8 @@ from .common import join_groups, staged
 RANK = 32
 #: Open anchors of one rank that one task compares.
 LARGE = 20_000
-#: Bytes that are ranked together.
-AT_ONCE = 4_000_000
+#: Bytes that are ranked together; longer documents are ranked in parts whose windows follow on.
+AT_ONCE = 1_500_000
 
 _random = np.random.default_rng(100)
 _BYTES = _random.integers(0, 2**64, 256, dtype=np.uint64)
@@ -117,24 +118,37 @@ def _batch(names, *columns):
 ANCHORS = ["deal", "done", "span", "doc", "sub", "place"]
 
 
-def _anchor_rows(length: int):
+def _groups(texts, length: int, at_once: int):
+    """Lists of (row, offset, bytes) of at_once bytes or so; parts of one text share length - 1 bytes, so each window is in one part."""
+    group, size = [], 0
+    for row, text in enumerate(texts):
+        data = text.as_py()
+        data = b"" if data is None else data.encode()
+        for offset in range(0, max(1, len(data) - length + 1), at_once):
+            group.append((row, offset, data[offset : offset + at_once + length - 1]))
+            size += len(group[-1][2])
+            if size >= at_once:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
+def _anchor_rows(length: int, at_once: int):
     def run(batches):
         for batch in batches:
-            ids, subs, texts = (c.to_pylist() for c in batch.columns)
-            at = 0
-            while at < len(ids):
-                first, size, parts = at, 0, []
-                while at < len(ids) and size < AT_ONCE:
-                    parts.append((texts[at] or "").encode())
-                    size, at = size + len(parts[-1]), at + 1
-                ends = np.cumsum([len(p) for p in parts])
+            ids, subs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for group in _groups(batch.column(2), length, at_once):
+                rows, offsets, parts = zip(*group, strict=True)
+                sizes = np.array([len(p) for p in parts])
+                ends = np.cumsum(sizes)
                 position, lo, hi, rank, span = anchors(np.frombuffer(b"".join(parts), dtype=np.uint8), ends, length)
                 if not len(position):
                     continue
                 owner = np.searchsorted(ends, position, side="right")
-                base = ends[owner] - np.array([len(p) for p in parts])[owner]
+                base = (ends - sizes - np.array(offsets))[owner]
                 place = _pack(position - base, lo - base, hi - base)
-                doc, sub = np.array(ids[first:at], dtype=np.int64)[owner], np.array(subs[first:at], dtype=np.int64)[owner]
+                doc, sub = (np.array([x[i] for i in rows], dtype=np.int64)[owner] for x in (ids, subs))
                 order = np.lexsort((place, sub, doc, span, rank))
                 rank, span, doc, sub, place = (x[order] for x in (rank, span, doc, sub, place))
                 done = np.zeros(len(rank), dtype=bool)
@@ -219,8 +233,8 @@ def _windows(length: int, kind: str):
         for batch in batches:
             out = [[], [], [], [], []]
             for i in range(batch.num_rows):
-                doc, sub, text, opens = (batch.column(c)[i].as_py() for c in range(4))
-                data = (text or "").encode()
+                doc, sub, packed, opens = (batch.column(c)[i].as_py() for c in range(4))
+                data = zlib.decompress(packed)
                 for anchor in opens:
                     if anchor["big"] != (kind == "big"):
                         continue
@@ -279,8 +293,8 @@ def _result():
         for batch in batches:
             out = [[], [], [], [], []]
             for i in range(batch.num_rows):
-                doc, text, spans = (batch.column(c)[i].as_py() for c in range(3))
-                data = (text or "").encode()
+                doc, packed, spans = (batch.column(c)[i].as_py() for c in range(3))
+                data = zlib.decompress(packed)
                 kept, at, runs, removed = hashlib.sha256(), 0, 0, 0
                 merged: list[list[int]] = []
                 for a, b in sorted((s["a"], s["b"]) for s in spans or ()):
@@ -299,18 +313,34 @@ def _result():
     return run
 
 
-def repeated_spans(texts: DataFrame, length: int, large: int = LARGE) -> DataFrame:
+def _packed(texts: DataFrame) -> DataFrame:
+    """(doc, sub, packed): the texts' bytes compressed for the way through a shuffle."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            packed = pa.array([zlib.compress((t.as_py() or "").encode(), 1) for t in batch.column(2)], pa.binary())
+            yield _batch(["doc", "sub", "packed"], batch.column(0), batch.column(1), packed)
+
+    return texts.mapInArrow(run, "doc long, sub long, packed binary")
+
+
+def repeated_spans(texts: DataFrame, length: int, large: int = LARGE, at_once: int = AT_ONCE) -> DataFrame:
     """(doc, sub, a, b): byte ranges of (doc, sub, text) that are covered by windows of which equal ones start earlier. Ranges may overlap."""
-    rows = texts.mapInArrow(_anchor_rows(length), "deal long, done boolean, span long, doc long, sub long, place long")
+    rows = texts.mapInArrow(_anchor_rows(length, at_once), "deal long, done boolean, span long, doc long, sub long, place long")
     found = rows.repartition("deal").sortWithinPartitions("deal", "done", "span", "doc", "sub", "place").mapInArrow(_rerank(length), FOUND)
     found = staged(found, "suffix-found")
     spans = found.where("kind = 1").select("doc", "sub", "a", "b")
     opens = found.where("kind = 2").select("doc", "sub", "a", "deal")
     by_rank = opens.groupBy("deal").agg(F.count("*").alias("n_open")).where(F.col("n_open") > large)
-    opens = join_groups(opens, by_rank, ["deal"], "n_open", opens.count(), F.struct("doc", "a")).withColumn("big", F.col("n_open").isNotNull())
     any_big = not by_rank.isEmpty()
+    if any_big:
+        opens = join_groups(opens, by_rank, ["deal"], "n_open", opens.count(), F.struct("doc", "a")).withColumn("big", F.col("n_open").isNotNull())
+    else:
+        opens = opens.withColumn("big", F.lit(False))
     lists = opens.groupBy("doc", "sub").agg(F.collect_list(F.struct("a", "deal", "big")).alias("opens"))  # bounded by the document's own size
-    with_text = texts.join(lists, ["doc", "sub"]).select("doc", "sub", "text", "opens")
+    with_text = _packed(texts).join(lists, ["doc", "sub"]).select("doc", "sub", "packed", "opens")
     windows = "deal long, doc long, sub long, a long, bytes binary"
     small = with_text.mapInArrow(_windows(length, "small"), windows)
     small = small.repartition("deal").sortWithinPartitions("deal", "doc", "sub", "a").mapInArrow(_compare(length), "doc long, sub long, a long, b long")
@@ -323,16 +353,16 @@ def repeated_spans(texts: DataFrame, length: int, large: int = LARGE) -> DataFra
     return spans
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text: str = "text", large: int = LARGE) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text: str = "text", large: int = LARGE, at_once: int = AT_ONCE) -> DataFrame:
     """Per document: id, n_bytes, n_removed, n_spans and kept_sha256."""
     if length < 2 * RANK or length > 1000:
         raise ValueError(f"length must be from {2 * RANK} to 1000")
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
     repeats = not docs.groupBy(id_col).count().where("count > 1").isEmpty()
     texts = docs.select(key.alias("doc"), (F.xxhash64(text) if repeats else F.lit(0).cast("long")).alias("sub"), F.col(text).alias("text"))
-    spans = repeated_spans(texts.distinct() if repeats else texts, length, large)
+    spans = repeated_spans(texts.distinct() if repeats else texts, length, large, at_once)
     lists = spans.groupBy("doc", "sub").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    both = texts.join(lists, ["doc", "sub"], "left").select("doc", "text", "spans")
+    both = _packed(texts).join(lists, ["doc", "sub"], "left").select("doc", "packed", "spans")
     out = both.mapInArrow(_result(), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     kind = docs.schema[id_col].dataType
     return out.select(F.when(F.col("id") != -(2**63), F.col("id")).cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from .common import map_rows
 
 #: Entries of a task's memory of pieces, and of pairs; it starts anew when full.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 
 
 class Vocabulary:
@@ -76,7 +76,7 @@ class Vocabulary:
         """
         key = left * self.never + right
         if (known := self._pairs.get(key)) is None:
-            if len(self._pairs) >= REMEMBERED:
+            if len(self._pairs) >= REMEMBERED // 2:
                 self._pairs.clear()
             rank = self.ranks.get
             known = True

@@ -65,7 +65,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     """
     values = [c for c in groups.columns if c not in keys]
     hot = groups.where(F.col(size) * HOT_SHARE >= F.lit(total)).select(*keys, F.struct(*values).alias("_hot"))
-    cold = groups.where(F.col(size) * HOT_SHARE < F.lit(total)).select(*keys, F.lit(0).alias("_deal"), F.struct(*values).alias("_cold"))
+    # a key of 0 that isn't a literal: the planner would take a literal out of the join's keys and deal by the others
+    cold = groups.where(F.col(size) * HOT_SHARE < F.lit(total)).select(*keys, F.least(F.col(size), F.lit(0)).cast("int").alias("_deal"), F.struct(*values).alias("_cold"))
     joined = rows.join(F.broadcast(hot), keys, "left")
     joined = joined.withColumn("_deal", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 30)).cast("int")))
     joined = joined.join(cold, [*keys, "_deal"], "left")

@@ -78,6 +78,36 @@ def anchor_ranges(found: DataFrame, words: DataFrame, id_col: str, reach: int =
     return met.groupBy(id_col, "idx").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.countDistinct("token").alias("n_found"))
 
 
+def sentence_starts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, idx, start, n): the tokens of a text before each sentence, and those of the sentence."""
+    rows = explode_sentences(docs.select(id_col, text).repartition(id_col), id_col, text).select(id_col, "idx", F.size(tokens(F.col("sentence"))).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(id_col).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    return rows.select(id_col, "idx", before.cast("int").alias("start"), "n")
+
+
+def anchor_ranges_ahead(found: DataFrame, starts: DataFrame, words: DataFrame, id_col: str, reach: int = 500) -> DataFrame:
+    """(id, idx, low, high, n_found) as of anchor_ranges(), with the `reach` words counted from each sentence's own start.
+
+    A sentence of more words is looked up in all of its own. starts: (id, idx, start, n). A token's places and the bounds of
+    the sentences that look for it are sorted once each way, so no sentence meets a place in a join.
+    """
+    asked = found.select(id_col, "idx", "token").distinct().join(starts, [id_col, "idx"])
+    asked = asked.select(id_col, "token", "idx", "start", (F.col("start") + F.greatest("n", F.lit(reach))).alias("stop"))
+    none = F.lit(None).cast("int")
+    places = words.select(id_col, F.col("word").alias("token"), none.alias("idx"), none.alias("start"), none.alias("stop"), F.col("pos").alias("at"), F.lit(1).alias("turn"))
+    # a bound stands before a place at the same position: places from the start, and places before the stop
+    bounds = asked.withColumn("at", F.explode(F.array("start", "stop"))).withColumn("turn", F.lit(0))
+    rows = places.unionByName(bounds)
+    token, place = Window.partitionBy(id_col, "token"), F.when(F.col("turn") == 1, F.col("at"))
+    before = F.last(place, ignorenulls=True).over(token.orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0))
+    after = F.last(place, ignorenulls=True).over(token.orderBy(F.desc("at"), F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("before", before).withColumn("after", after).where("turn = 0")
+    low = F.when((F.col("at") == F.col("start")) & (F.col("after") < F.col("stop")), F.col("after"))
+    high = F.when((F.col("at") == F.col("stop")) & (F.col("before") >= F.col("start")), F.col("before"))
+    met = rows.groupBy(id_col, "idx").agg(F.min(low).alias("low"), F.max(high).alias("high"), F.count(low).alias("n_found"))
+    return met.where("n_found > 0")
+
+
 def vocabulary_matches(vocabulary: DataFrame, cutoff: float = 92.0, longest: int = 26) -> DataFrame:
     """(a, b, ratio): pairs a < b of distinct tokens with an indel ratio of at least cutoff, by equal remains after deletions.
 

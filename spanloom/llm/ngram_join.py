@@ -16,7 +16,8 @@ Equal sets are one item throughout. Hashes count as the shingles: a collision wi
 
 Defined results: words are runs outside [\\x20\\x09-\\x0D] with A-Z lower-cased; fewer words than a shingle are one
 shingle; null, empty and blank texts have an empty set and link with nothing; repeated rows are equal sets;
-an empty table gives an empty result.
+different texts under one id are documents of their own, as are rows with a null id: both link by their own text, and a
+null id names a component only where no row of it has another; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -104,13 +105,13 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, id_col: str, text: str, width: int) -> tuple[DataFrame, np.ndarray, int]:
-    """(id, n, item, bits) of all documents, the sketch's classes, and the seed of the items' names."""
+    """(id, sub, n, item, bits) of all documents, the sketch's classes, and the seed of the items' names."""
     def run(batches, seed):
         import pyarrow as pa
         import xxhash
 
         words, counts = WordHashes(), np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
-        names = ["id", "n", "item", "bits", "proof", "block", "counts"]
+        names = ["id", "sub", "n", "item", "bits", "proof", "block", "counts"]
         for batch in batches:
             ids = batch.column(0).to_pylist()
             sizes, items, bits, proofs = [], [], [], []
@@ -124,18 +125,18 @@ def describe(docs: DataFrame, id_col: str, text: str, width: int) -> tuple[DataF
                 proofs.append(xxhash.xxh3_128_digest(data))
             n = len(ids)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(items, dtype=np.uint64).view(np.int64)), pa.array(bits, pa.list_(pa.int64())), pa.array(proofs, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(np.array(items, dtype=np.uint64).view(np.int64)), pa.array(bits, pa.list_(pa.int64())), pa.array(proofs, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
                 names=names,
             )
         blocks = counts.reshape(BLOCKS, -1)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.list_(pa.int64())), pa.nulls(BLOCKS, pa.binary()), pa.array(range(BLOCKS), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())],
+            [*(pa.nulls(BLOCKS, pa.int64()) for _ in range(4)), pa.nulls(BLOCKS, pa.list_(pa.int64())), pa.nulls(BLOCKS, pa.binary()), pa.array(range(BLOCKS), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())],
             names=names,
         )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("sub"))
     for seed in range(8):
-        made = staged(rows.mapInArrow(lambda batches, seed=seed: run(batches, seed), "id long, n long, item long, bits array<long>, proof binary, block int, counts binary"), "ngram-sets")
+        made = staged(rows.mapInArrow(lambda batches, seed=seed: run(batches, seed), "id long, sub long, n long, item long, bits array<long>, proof binary, block int, counts binary"), "ngram-sets")
         sets = made.where("block is null")
         clash = sets.groupBy("item").agg(F.min("proof").alias("a"), F.max("proof").alias("b")).where("a <> b")
         if clash.isEmpty():
@@ -155,7 +156,7 @@ def describe(docs: DataFrame, id_col: str, text: str, width: int) -> tuple[DataF
     counts = counts.reshape(-1)
     least = max(FREQUENT, FREQUENT_MEANS * float(counts.mean()))
     classes = np.where(counts >= least, 1 + np.log2(np.maximum(counts / least, 1)), 0).astype(np.uint8)
-    return sets.select("id", "n", "item", "bits"), classes, seed
+    return sets.select("id", "sub", "n", "item", "bits"), classes, seed
 
 
 def index_rows(docs: DataFrame, classes: np.ndarray, seed: int, id_col: str, text: str, width: int) -> DataFrame:
@@ -252,23 +253,28 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select(*names, "x", "y").mapInArrow(linked, "a long, b long, la long, lb long")
 
 
-def set_bytes(docs: DataFrame, needed: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
-    """(item, hashes) of the needed (item, rep): the sets of their representative documents."""
+def set_bytes(docs: DataFrame, needed: DataFrame, seed: int, id_col: str, text: str, width: int) -> DataFrame:
+    """(item, hashes) of the needed (item, at): the sets of their representative rows, found by id and a hash of the text; a row counts if its set bears the item's name."""
 
     def run(batches):
         import pyarrow as pa
+        import xxhash
 
         words = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t, words, width).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["item", "hashes"])
+                data = [shingle_set(t, words, width).tobytes() for t in part.column(1).to_pylist()]
+                names = np.array([xxhash.xxh3_64_intdigest(d, seed=seed) for d in data], dtype=np.uint64)
+                same = pa.array(_signed(names) == part.column(0).to_numpy())
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(same), pa.array(data, pa.binary()).filter(same)], names=["item", "hashes"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text).alias("text"))
-    needed = staged(needed, "ngram-needed")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("sub"))
+    needed = staged(needed.select("item", F.col("at.id").alias("rep"), F.col("at.sub").alias("rep_sub")), "ngram-needed")
     if needed.count() <= FEW_ITEMS:  # no text travels
         needed = F.broadcast(needed)
-    return texts.join(needed, "rep").select("item", "text").mapInArrow(run, "item long, hashes binary").dropDuplicates(["item"])
+    met = texts.join(needed, F.col("id").eqNullSafe(F.col("rep")) & (F.col("sub") == F.col("rep_sub")))
+    return met.select("item", "text").mapInArrow(run, "item long, hashes binary").dropDuplicates(["item"])
 
 
 def relabelled(rows: DataFrame, tied: DataFrame) -> DataFrame:
@@ -299,7 +305,7 @@ def close_enough(a: str, b: str):
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """Per document: id, n_shingles and component_id, the least id reachable over links."""
     sets, classes, seed = describe(docs, id_col, text, width)
-    items = staged(sets.where("n > 0").groupBy("item").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("n_docs"), F.first("bits").alias("bits")), "ngram-items")
+    items = staged(sets.where("n > 0").groupBy("item").agg(F.min("id").alias("rep"), F.min(F.struct("id", "sub")).alias("at"), F.max("n").alias("n"), F.count("*").alias("n_docs"), F.first("bits").alias("bits")), "ngram-items")
     multi = staged(shared_entries(index_rows(docs, classes, seed, id_col, text, width)), "ngram-entries")
 
     links: list[DataFrame] = []
@@ -312,7 +318,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str
         needed = pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct()
         if held is not None:
             needed = needed.join(held.select("item"), "item", "left_anti")
-        more = staged(set_bytes(docs, needed.join(items.select("item", "rep"), "item"), id_col, text, width), "ngram-hashes")
+        more = staged(set_bytes(docs, needed.join(items.select("item", "at"), "item"), seed, id_col, text, width), "ngram-hashes")
         held = more if held is None else held.unionByName(more)
         links.append(staged(verified(pairs, held), "ngram-links"))
         return links[-1]
@@ -346,10 +352,11 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str
     every = links[0]
     for more in links[1:]:
         every = every.unionByName(more)
-    ids = items.select("item", "rep")
-    edges = every.join(ids.select(F.col("item").alias("a"), F.col("rep").alias("ra")), "a").join(ids.select(F.col("item").alias("b"), F.col("rep").alias("rb")), "b")
-    tied = staged(components(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b"))), "ngram-components")
-    named = items.join(tied.select(F.col("node").alias("rep"), "component"), "rep", "left").select("item", "n_docs", F.coalesce("component", "rep").alias("component"))
+    # items are the nodes, as ids may be null or stand for several
+    tied = staged(components(every.select("a", "b")).join(items.select(F.col("item").alias("node"), "rep"), "node"), "ngram-components")
+    least = tied.groupBy("component").agg(F.min("rep").alias("least"), F.count("*").alias("n_items"))
+    tied = join_groups(tied, least, ["component"], "n_items", tied.count(), F.col("node"))
+    named = items.join(tied.select(F.col("node").alias("item"), "least"), "item", "left").select("item", "n_docs", F.coalesce("least", "rep").alias("component"))
     out = join_groups(sets.select("id", "n", "item"), named, ["item"], "n_docs", sets.count(), F.col("id"))
     kind = docs.schema[id_col].dataType
     return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").cast(kind).alias("component_id"))

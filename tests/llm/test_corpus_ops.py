@@ -157,6 +157,29 @@ def test_ngram_join_odd_tables(spark):
     assert ngram_join.ngram_jaccard_components(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("few", [1000, 0])
+def test_ngram_join_shared_and_null_ids(spark, monkeypatch, few):
+    monkeypatch.setattr(ngram_join, "FEW_ITEMS", few)
+    words = [[f"{c}{i}" for i in range(40)] for c in "xyz"]
+    text = lambda c, *extra: " ".join([*words[c], *extra])
+    # id 5 stands for two texts, each with a near copy of its own; three texts are tied by the one without an id
+    rows = [(5, text(0)), (5, text(1)), (6, text(0, "one")), (7, text(1, "two"))]
+    chain = ["p1 p2 p3 p4", "p1 p2 p3 p4 q1 q2 q3 q4", "q1 q2 q3 q4"]
+    rows += [(9, text(2, *chain[0].split())), (None, text(2, *chain[1].split())), (8, text(2, *"p1 p2 p3 p4 q1 q2 q3 q4 r1 r2 r3 r4 r5".split()))]
+    rows += [(None, "alone " + " ".join(f"v{i}" for i in range(9))), (None, text(0, "three"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in ngram_join.ngram_jaccard_components(df).collect()))
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    sets, least = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if 4 * len(a & b) >= 3 * len(a | b):
+                least = [least[i] if x == least[j] else x for x in least]
+    names = [min((i for (i, _), x in zip(rows, least, strict=True) if x == y and i is not None), default=0) for y in least]
+    assert got == sorted((i or 0, len(a), name) for (i, _), a, name in zip(rows, sets, names, strict=True))
+    assert names == [5, 5, 5, 5, 8, 8, 8, 0, 5] and least[0] != least[1] and len({least[4], least[5], least[6]}) == 1
+
+
 def test_components(spark):
     rng = random.Random(11)
     edges = [(i, i + 1) for i in range(100, 130)] + [(5, x) for x in range(200, 260)] + [(rng.randint(300, 400), rng.randint(300, 400)) for _ in range(60)] + [(9, 9)]

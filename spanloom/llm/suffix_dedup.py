@@ -39,6 +39,7 @@ AT_ONCE = 1_500_000
 _random = np.random.default_rng(100)
 _BYTES = _random.integers(0, 2**64, 256, dtype=np.uint64)
 _ODD = _random.integers(0, 2**64, 16, dtype=np.uint64) | np.uint64(1)
+_PIECES = np.concatenate((_ODD[10:13], _random.integers(0, 2**64, 32, dtype=np.uint64) | np.uint64(1)))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -94,7 +95,11 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, rank: int = RANK) -
         first, last = at[more] + 1, last[more]
     at, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
     size = hi + length - lo
-    span = wide[lo] * _ODD[10] + wide[lo + (size - 2 * rank) // 2] * _ODD[11] + wide[hi + length - 2 * rank] * _ODD[12]
+    # as many pieces as the longest span needs, so that they meet or overlap in every span
+    last = max(3, -(-(2 * length - rank) // (2 * rank))) - 1
+    span = np.zeros(len(lo), dtype=np.uint64)
+    for k in range(last + 1):
+        span += wide[lo + (size - 2 * rank) * k // last] * _PIECES[k]
     span = _mix(span + (at - lo).astype(np.uint64) * _ODD[13] + (at - hi).astype(np.uint64) * _ODD[15])
     return at, lo, hi, key[at], span
 

@@ -45,6 +45,22 @@ def test_suffix_dedup(spark, large, at_once):
     assert got == plain_removal(texts, 100)
 
 
+@pytest.mark.parametrize("length", [64, 100, 112, 113, 200, 1000])
+def test_span_ranks_cover_all_bytes(length):
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    for _ in range(3):
+        data = rng.integers(32, 127, 3 * length, dtype=np.uint8)
+        spans = {(a, lo, hi): s for a, lo, hi, _, s in zip(*suffix_dedup.anchors(data, np.array([len(data)]), length), strict=True)}
+        for at in rng.choice(len(data), 150, replace=False):
+            other = data.copy()
+            other[at] ^= 1
+            for a, lo, hi, _, s in zip(*suffix_dedup.anchors(other, np.array([len(data)]), length), strict=True):
+                if (a, lo, hi) in spans:
+                    assert (spans[a, lo, hi] != s) == (lo <= at < hi + length)
+
+
 def test_suffix_dedup_odd_ids(spark):
     long = "abcdefghij" * 15
     df = spark.createDataFrame([(None, long), (1, long), (1, long), (1, "z" + long[1:]), (2, "q" * 5)], "doc_id long, text string")

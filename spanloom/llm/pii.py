@@ -4,7 +4,10 @@ Base detectors find e-mail addresses, IPv4 addresses, card numbers and phone num
 transducers rewrite disguises and keep, for every character they write, the span of source characters it
 came from: look-alike letters and digits, invisible characters, spelled digits, and "at", "dot" and "plus" as words
 or in brackets. The same detectors run on the rewritten text, and their finds are mapped back to the source.
-A find counts if it rests on a rewrite and overlaps no base span; base spans always stay.
+A find counts if it rests on a rewrite and reaches beyond the base spans it overlaps; base spans always stay beside it.
+
+Not caught: a plain "at" before a host with written dots only (name at host.com), and an address of plain words whose top-level
+domain isn't in TOP_LEVEL (john at firma dot pl). Brackets around "at" or a dot lift both limits.
 
 Defined results: a null or empty text has no spans; spans are code points with an exclusive end; repeated rows
 are searched each for itself; equal or overlapping added spans keep the first by kind and start.
@@ -200,12 +203,12 @@ def find_spans(text: str) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[
     base = detect(text)
     every = [(kind, *span) for kind in KINDS for span in base[kind]]
     if (tape := normalise(text)) is not None:
-        taken = [span for spans in base.values() for span in spans]
+        bases, added = [span for spans in base.values() for span in spans], []
         for kind, spans in detect(tape.text).items():
             for a, b in spans:
                 start, end = tape.starts[a], tape.ends[b - 1]
-                if text[start:end] != tape.text[a:b] and not any(s < end and start < e for s, e in taken):
-                    taken.append((start, end))
+                if text[start:end] != tape.text[a:b] and not any(s <= start and end <= e for s, e in bases) and not any(s < end and start < e for s, e in added):
+                    added.append((start, end))
                     every.append((kind, start, end))
     every.sort(key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
     return base, every

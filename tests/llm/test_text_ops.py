@@ -183,6 +183,23 @@ def test_base_spans_stay():
     assert [(k, *s) for k in pii.KINDS for s in base[k]] == [s for s in every if text[s[1] : s[2]] != "x at y dot com"]
 
 
+def test_partly_disguised():
+    for text, kind, plain in (
+        ("mail john dot smith@example.com now", "email", "smith@example.com"),
+        ("call +49 170 123 four five six seven now", "phone", "+49 170 123"),
+    ):
+        whole = text.split(" ", 1)[1].removesuffix(" now")
+        base, every = pii.find_spans(text)
+        assert [text[a:b] for a, b in base[kind]] == [plain]
+        assert sorted((k, text[a:b]) for k, a, b in every) == sorted([(kind, plain), (kind, whole)])
+        assert pii.mask(text) == text.replace(whole, f"[{kind.upper()}]")
+    # stated limits
+    for text in ("john at firma dot pl", "name at host.com"):
+        assert pii.find_spans(text)[1] == []
+    for text in ("john (at) firma dot pl", "name (at) host.com"):
+        assert [text[a:b] for _, a, b in pii.find_spans(text)[1]] == [text]
+
+
 def test_long_texts_take_linear_time():
     for text in ("9" * 200_000, "a" * 200_000 + "@", "one " * 40_000, "a.b at " * 20_000, "+1" + "(" * 100_000, "a-" * 60_000 + " dot ", "x (at) " * 20_000):
         pii.find_spans(text)

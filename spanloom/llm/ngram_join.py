@@ -7,8 +7,12 @@ pairs of shingles of the frequent class. Sets of over COMBINED shingles would ha
 frequent shingles singly, and sets up to 4/3 of that size do both, so any two that may link meet in one way.
 
 Candidates are not all pairs that share an entry. In rounds each set meets one member of its entries, and links found are
-closed to components. Only pairs from different components are then formed, as far as parity sketches of a fixed size
-allow them, counted over all their common entries, dropped if the count proves them too far apart, and
+closed to components. After the first round that member is the entry's most central set of about its size: the one that
+shares the largest part of its prefix, as the common origin of edited copies does, so that one round ties all copies
+near the origin. Only pairs from different components are then formed, and of these only those that two bounds allow:
+an entry carries the number of shingles before it in its set's order, and where the entry is the first that two sets
+share, only those behind it can be common (an edited copy too far from its origin starts with its own shingles, so it
+meets no other there); and parity sketches of one or two bits a shingle, then of four, count differing shingles from below. What is left is
 verified on the full sets. No link between different components is lost, so the components are exact.
 
 Equal sets are one item throughout. Hashes count as the shingles: a collision within a pair is as likely as
@@ -22,9 +26,13 @@ null id names a component only where no row of it has another; an empty table gi
 
 from __future__ import annotations
 
+import math
+from itertools import chain
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .byte_bpe import REMEMBERED
 from .common import join_groups, staged
@@ -35,17 +43,23 @@ WIDTH = 5
 NUM, DEN = 3, 4
 SKETCH_BITS = 20
 BLOCKS = 64
-#: A shingle is frequent if its sketch count is at least so much, and so many times the mean.
-FREQUENT, FREQUENT_MEANS = 16, 8
+#: A shingle is frequent if its sketch count is at least so much, and so many times the upper spread (median to ninth decile) of
+#: all counts over their median: what other shingles add to a count is about the same for all.
+FREQUENT, FREQUENT_SPREADS = 16, 6
 COMBINED = 64
-#: Words of 64 bits of a set's parity sketch.
-PARITY = 8
-#: Rounds in which each set meets one member of its entries, before pairs are formed.
-STAR_ROUNDS = 4
+#: Most bits of the parity sketches that go along with entries.
+PARITY_BITS = 4096
+#: Rounds of stars go on among entries of more than so many items of several labels, while a round links at least one in
+#: STAR_GAIN of these items.
+STAR_ITEMS, STAR_GAIN = 4, 200
 #: Items (16 bytes each) whose list is sent to all executors instead of shuffling the texts.
 FEW_ITEMS = 200_000
 
 
+#: Characters of texts whose words are hashed in one go.
+AT_ONCE = 1_000_000
+
+
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -56,48 +70,109 @@ class WordHashes(dict):
         return found
 
 
-def shingle_set(text: str | None, words: WordHashes, width: int = WIDTH) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
-    parts = (text or "").encode().lower().split()  # bytes: only A-Z change, only ASCII white space parts
-    hashes = np.fromiter(map(words.__getitem__, parts), dtype=np.uint64, count=len(parts))
-    if not len(parts):
-        return hashes
-    size = min(width, len(parts))
-    mixed = hashes[: len(hashes) - size + 1] + np.uint64(size)
+def _mixed(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each `size` words in a row."""
+    mixed = hashes[: max(0, len(hashes) - size + 1)] + np.uint64(size)
     for k in range(1, size):
         mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + hashes[k : len(hashes) - size + 1 + k]
         mixed ^= mixed >> np.uint64(29)
     mixed = mixed * np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> np.uint64(32)
     mixed = mixed * np.uint64(0x94D049BB133111EB)
-    return np.unique(mixed ^ (mixed >> np.uint64(29)))
+    return mixed ^ (mixed >> np.uint64(29))
+
+
+def shingle_sets(texts: list[str | None], words: WordHashes, width: int = WIDTH) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text. The words of all texts are hashed in one go."""
+    parts = [(text or "").encode().lower().split() for text in texts]  # bytes: only A-Z change, only ASCII white space parts
+    stops = np.cumsum([len(p) for p in parts], dtype=np.int64) if parts else np.zeros(0, np.int64)
+    hashes = np.fromiter(map(words.__getitem__, chain.from_iterable(parts)), dtype=np.uint64, count=int(stops[-1]) if len(stops) else 0)
+    mixed, out, start = _mixed(hashes, width), [], 0
+    for stop in stops.tolist():
+        n = stop - start
+        found = mixed[start : stop - width + 1] if n >= width else _mixed(hashes[start:stop], n) if n else hashes[:0]
+        if n > width:
+            found.sort()  # in place: the windows of a text are its own
+            new = found[1:] != found[:-1]
+            found = found.copy() if new.all() else np.concatenate((found[:1], found[1:][new]))
+        out.append(found)
+        start = stop
+    return out
+
+
+def shingle_set(text: str | None, words: WordHashes, width: int = WIDTH) -> np.ndarray:
+    return shingle_sets([text], words, width)[0]
+
+
+def in_groups(texts, width: int, words: WordHashes):
+    """shingle_sets() of an Arrow column, as many texts at a time as have AT_ONCE bytes or so: (index, set)."""
+    group, size, first = [], 0, 0
+    for i, text in enumerate(texts):
+        group.append(text.as_py())
+        size += len(group[-1] or "")
+        if size >= AT_ONCE:
+            yield from enumerate(shingle_sets(group, words, width), first)
+            group, size, first = [], 0, i + 1
+    yield from enumerate(shingle_sets(group, words, width), first)
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def index_entries(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """The index entries of a set: singles are even, combinations odd. classes: of each hash, 0 for rare."""
+def index_entries(hashes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The index entries of a set: singles are even, combinations odd; and the number of other shingles before each entry's last one. classes: of each hash, 0 for rare."""
     n = len(hashes)
-    order = np.lexsort((hashes, classes))[: min(n, n - (-(-NUM * n // DEN)) + 2)]
-    rare = classes[order] == 0
-    frequent = hashes[order[~rare]]
-    singles = hashes[order[rare]] if n <= COMBINED else hashes[order]
-    out = [singles & ~np.uint64(1)]
-    if NUM * n <= DEN * COMBINED and len(frequent) > 1:
-        a, b = np.triu_indices(len(frequent), 1)
-        mixed = (frequent[a] * np.uint64(0x9E3779B97F4A7C15)) ^ (frequent[b] * np.uint64(0xC2B2AE3D27D4EB4F))
-        mixed ^= mixed >> np.uint64(31)
-        out.append(mixed * np.uint64(0xBF58476D1CE4E5B9) | np.uint64(1))
-    return np.unique(np.concatenate(out))
+    size = min(n, n - (-(-NUM * n // DEN)) + 2)
+    if not classes.any():  # all rare: hashes are in order already
+        entries, before = hashes[:size] & ~np.uint64(1), np.arange(size)
+    else:
+        order = np.argsort(classes, kind="stable")[:size]
+        rare = classes[order] == 0
+        frequent = hashes[order[~rare]]
+        n_rare = int(rare.sum())
+        singles = hashes[order[:n_rare]] if n <= COMBINED else hashes[order]
+        out, before = [singles & ~np.uint64(1)], [np.arange(len(singles))]
+        if NUM * n <= DEN * COMBINED and len(frequent) > 1:
+            a, b = np.triu_indices(len(frequent), 1)
+            mixed = (frequent[a] * np.uint64(0x9E3779B97F4A7C15)) ^ (frequent[b] * np.uint64(0xC2B2AE3D27D4EB4F))
+            mixed ^= mixed >> np.uint64(31)
+            out.append(mixed * np.uint64(0xBF58476D1CE4E5B9) | np.uint64(1))
+            before.append(n_rare + b - 1)
+        entries, before = np.concatenate(out), np.concatenate(before)
+        by_entry = np.lexsort((before, entries))
+        entries, before = entries[by_entry], before[by_entry]
+    first = np.ones(len(entries), dtype=bool)
+    first[1:] = entries[1:] != entries[:-1]
+    return entries[first], before[first]
 
 
 def parity(hashes: np.ndarray) -> np.ndarray:
-    """Bits that are set where an odd number of shingles fall; the bits in which two sets differ are at most as many as the shingles in which they do."""
-    at = (hashes >> np.uint64(20)) % np.uint64(64 * PARITY)
-    odd = np.bincount(at.astype(np.int64), minlength=64 * PARITY) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    """A sketch, as bytes, of at least four bits a shingle: bits are set where an odd number of shingles fall. The bits in which two sets differ are at most as many as the shingles in which they do."""
+    size = max(512, 1 << (4 * len(hashes)).bit_length())
+    at = (hashes >> np.uint64(20)) & np.uint64(size - 1)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=size) & 1).astype(np.uint8))
+
+
+def folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    """The sketch of the same set with fewer bytes."""
+    while len(sketch) > size:
+        half = len(sketch) // 2
+        sketch = sketch[:half] ^ sketch[half:]
+    return sketch
+
+
+def small_parity(sketch: np.ndarray, n: int) -> np.ndarray:
+    """One or two bits a shingle, and the same folded once for sets of the size class below, as words of 64 bits."""
+    bits = min(max(128, min(512, 1 << (2 * n - 1).bit_length()), 1 << max(0, n - 1).bit_length()), PARITY_BITS)
+    own = folded(sketch, bits // 8)
+    return np.concatenate((own, folded(own, bits // 16))).view(np.int64)
+
+
+def differing(x: str, y: str) -> Column:
+    """Bits in which two small_parity() columns differ; classes are neighbours at most."""
+    words = lambda c, d: F.slice(c, F.when(F.size(c) > F.size(d), F.size(d) * 4 / 3 + 1).otherwise(1).cast("int"), (F.least(F.size(c), F.size(d)) * 2 / 3).cast("int"))
+    return F.aggregate(F.zip_with(words(x, y), words(y, x), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, d: n + d)
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
@@ -105,42 +180,47 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, id_col: str, text: str, width: int) -> tuple[DataFrame, np.ndarray, int]:
-    """(id, sub, n, item, bits) of all documents, the sketch's classes, and the seed of the items' names."""
+    """(id, sub, n, item, bits, wide) of all documents, the sketch's classes, and the seed of the items' names. wide is the parity sketch, bits its small_parity()."""
     def run(batches, seed):
         import pyarrow as pa
         import xxhash
 
         words, counts = WordHashes(), np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
-        names = ["id", "sub", "n", "item", "bits", "proof", "block", "counts"]
+        names = ["id", "sub", "n", "item", "bits", "wide", "proof", "block", "counts"]
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            sizes, items, bits, proofs = [], [], [], []
-            for t in batch.column(1).to_pylist():
-                hashes = shingle_set(t, words, width)
+            sizes, items, bits, wides, proofs = [], [], [], [], []
+            for _, hashes in in_groups(batch.column(1), width, words):
                 np.add.at(counts, _bucket(hashes), np.uint32(1))
                 data = hashes.tobytes()
                 sizes.append(len(hashes))
                 items.append(xxhash.xxh3_64_intdigest(data, seed=seed))
-                bits.append(parity(hashes))
+                wide = parity(hashes)
+                bits.append(small_parity(wide, len(hashes)))
+                wides.append(wide.tobytes())
                 proofs.append(xxhash.xxh3_128_digest(data))
             n = len(ids)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(np.array(items, dtype=np.uint64).view(np.int64)), pa.array(bits, pa.list_(pa.int64())), pa.array(proofs, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                [batch.column(0).cast(id_type), batch.column(2), pa.array(sizes, pa.int64()), pa.array(np.array(items, dtype=np.uint64).view(np.int64)), pa.array(bits, pa.list_(pa.int64())), pa.array(wides, pa.binary()), pa.array(proofs, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
                 names=names,
             )
         blocks = counts.reshape(BLOCKS, -1)
         yield pa.RecordBatch.from_arrays(
-            [*(pa.nulls(BLOCKS, pa.int64()) for _ in range(4)), pa.nulls(BLOCKS, pa.list_(pa.int64())), pa.nulls(BLOCKS, pa.binary()), pa.array(range(BLOCKS), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())],
+            [pa.nulls(BLOCKS, id_type), *(pa.nulls(BLOCKS, pa.int64()) for _ in range(3)), pa.nulls(BLOCKS, pa.list_(pa.int64())), *(pa.nulls(BLOCKS, pa.binary()) for _ in range(2)), pa.array(range(BLOCKS), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())],
             names=names,
         )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("sub"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("sub"))
+    kind = docs.schema[id_col].dataType
+    id_type = to_arrow_type(kind)
     for seed in range(8):
-        made = staged(rows.mapInArrow(lambda batches, seed=seed: run(batches, seed), "id long, sub long, n long, item long, bits array<long>, proof binary, block int, counts binary"), "ngram-sets")
+        made = staged(rows.mapInArrow(lambda batches, seed=seed: run(batches, seed), f"id {kind.simpleString()}, sub long, n long, item long, bits array<long>, wide binary, proof binary, block int, counts binary"), "ngram-sets")
         sets = made.where("block is null")
         clash = sets.groupBy("item").agg(F.min("proof").alias("a"), F.max("proof").alias("b")).where("a <> b")
         if clash.isEmpty():
             break
+    else:
+        raise RuntimeError("different sets have one name under every seed")
 
     def summed(pdf):
         import pandas as pd
@@ -154,13 +234,15 @@ def describe(docs: DataFrame, id_col: str, text: str, width: int) -> tuple[DataF
     for block, data in blocks.collect():  # BLOCKS rows of a fixed size
         counts[block] = np.frombuffer(data, dtype=np.uint32)
     counts = counts.reshape(-1)
-    least = max(FREQUENT, FREQUENT_MEANS * float(counts.mean()))
-    classes = np.where(counts >= least, 1 + np.log2(np.maximum(counts / least, 1)), 0).astype(np.uint8)
-    return sets.select("id", "sub", "n", "item", "bits"), classes, seed
+    median, ninth = np.quantile(counts, (0.5, 0.9))
+    least = max(FREQUENT, FREQUENT_SPREADS * float(ninth - median))
+    over = counts - median
+    classes = np.where(over >= least, 1 + np.log2(np.maximum(over / least, 1)), 0).astype(np.uint8)
+    return sets.select("id", "sub", "n", "item", "bits", "wide"), classes, seed
 
 
 def index_rows(docs: DataFrame, classes: np.ndarray, seed: int, id_col: str, text: str, width: int) -> DataFrame:
-    """(entry, item, n): the entries of all sets; a set that a task meets again is not repeated."""
+    """(entry, item, size): the entries of all sets; a set that a task meets again is not repeated. size holds n and, in its lower half, the shingles before the entry."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)  # 2 ** SKETCH_BITS bytes
 
     def run(batches):
@@ -170,38 +252,37 @@ def index_rows(docs: DataFrame, classes: np.ndarray, seed: int, id_col: str, tex
         words, seen, of = WordHashes(), set(), shared.value
         for batch in batches:
             entries, items, sizes, held = [], [], [], 0
-            for t in batch.column(0).to_pylist():
-                hashes = shingle_set(t, words, width)
+            for _, hashes in in_groups(batch.column(0), width, words):
                 item = xxhash.xxh3_64_intdigest(hashes.tobytes(), seed=seed)
                 if not len(hashes) or item in seen:
                     continue
                 seen.add(item)
-                found = index_entries(hashes, of[_bucket(hashes)])
+                found, before = index_entries(hashes, of[_bucket(hashes)])
                 entries.append(found)
                 items.append(np.full(len(found), item, dtype=np.uint64))
-                sizes.append(np.full(len(found), len(hashes), dtype=np.int32))
+                sizes.append((np.int64(len(hashes)) << 32) | before.astype(np.int64))
                 held += len(found)
                 if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(entries))), pa.array(_signed(np.concatenate(items))), pa.array(np.concatenate(sizes))], names=["entry", "item", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(entries))), pa.array(_signed(np.concatenate(items))), pa.array(np.concatenate(sizes))], names=["entry", "item", "size"])
                     entries, items, sizes, held = [], [], [], 0
             if entries:
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(entries))), pa.array(_signed(np.concatenate(items))), pa.array(np.concatenate(sizes))], names=["entry", "item", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(entries))), pa.array(_signed(np.concatenate(items))), pa.array(np.concatenate(sizes))], names=["entry", "item", "size"])
 
-    return docs.select(text).mapInArrow(run, "entry long, item long, n int")
+    return docs.select(text).mapInArrow(run, "entry long, item long, size long")
 
 
 def shared_entries(rows: DataFrame) -> DataFrame:
-    """(entry, item, n, leader, leader_n) of entries with two items or more; rows are dealt and sorted by entry and read as a stream, so no entry's rows are held together."""
+    """(entry, item, size, leader, leader_size) of entries with two items or more; rows are dealt and sorted by entry and read as a stream, so no entry's rows are held together."""
 
     def run(batches):
         import pyarrow as pa
 
         held = None  # the last row, until it is known whether its entry goes on
-        leader = None  # (entry, item, n) of the entry that the last row belongs to
-        names = ["entry", "item", "n", "leader", "leader_n"]
+        leader = None  # (entry, item, size) of the entry that the last row belongs to
+        names = ["entry", "item", "size", "leader", "leader_size"]
 
         def out(entry, item, n, lead, lead_n):
-            return pa.RecordBatch.from_arrays([pa.array(entry), pa.array(item), pa.array(n, pa.int32()), pa.array(lead), pa.array(lead_n, pa.int32())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(entry, pa.int64()), pa.array(item, pa.int64()), pa.array(n, pa.int64()), pa.array(lead, pa.int64()), pa.array(lead_n, pa.int64())], names=names)
 
         for batch in batches:
             entry, item, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
@@ -229,7 +310,28 @@ def shared_entries(rows: DataFrame) -> DataFrame:
         if held is not None and leader[1] != held[1]:
             yield out([held[0]], [held[1]], [held[2]], [leader[1]], [leader[2]])
 
-    return rows.repartition("entry").sortWithinPartitions("entry", "item").mapInArrow(run, "entry long, item long, n int, leader long, leader_n int")
+    return rows.repartition("entry").sortWithinPartitions("entry", "item").mapInArrow(run, "entry long, item long, size long, leader long, leader_size long")
+
+
+def sketched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b, n1, n2, la, lb) whose whole parity sketches, a sixteenth of the sets, let them be linked."""
+
+    def close(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = []
+            for i, (n, m) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), dtype=np.uint8) for c in (6, 7))
+                size = min(len(x), len(y))
+                differ = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
+                keep.append(differ <= n + m - 2 * -(-NUM * (n + m) // (NUM + DEN)))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in (0, 1, 4, 5)], names=["a", "b", "la", "lb"])
+
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct()
+    wides = staged(sets.select("item", "wide").join(needed, "item", "left_semi").dropDuplicates(["item"]), "ngram-sketches")
+    both = pairs.join(wides.select(F.col("item").alias("a"), F.col("wide").alias("x")), "a").join(wides.select(F.col("item").alias("b"), F.col("wide").alias("y")), "b")
+    return both.select("a", "b", "n1", "n2", "la", "lb", "x", "y").mapInArrow(close, "a long, b long, la long, lb long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -264,12 +366,12 @@ def set_bytes(docs: DataFrame, needed: DataFrame, seed: int, id_col: str, text:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                data = [shingle_set(t, words, width).tobytes() for t in part.column(1).to_pylist()]
+                data = [hashes.tobytes() for _, hashes in in_groups(part.column(1), width, words)]
                 names = np.array([xxhash.xxh3_64_intdigest(d, seed=seed) for d in data], dtype=np.uint64)
                 same = pa.array(_signed(names) == part.column(0).to_numpy())
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(same), pa.array(data, pa.binary()).filter(same)], names=["item", "hashes"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("sub"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("sub"))
     needed = staged(needed.select("item", F.col("at.id").alias("rep"), F.col("at.sub").alias("rep_sub")), "ngram-needed")
     if needed.count() <= FEW_ITEMS:  # no text travels
         needed = F.broadcast(needed)
@@ -278,20 +380,36 @@ def set_bytes(docs: DataFrame, needed: DataFrame, seed: int, id_col: str, text:
 
 
 def relabelled(rows: DataFrame, tied: DataFrame) -> DataFrame:
-    """rows (entry, item, n, label) with the labels that tied (node, component) gives, without entries that are of one label."""
+    """rows (entry, item, size, label) with the labels that tied (node, component) gives and the entry's number of items, without entries that are of one label."""
     sizes = rows.groupBy("label").agg(F.count("*").alias("n_rows"))
     names = tied.select(F.col("node").alias("label"), "component").join(sizes, "label")
     rows = join_groups(rows, names, ["label"], "n_rows", rows.count(), F.struct("entry", "item"))
-    rows = staged(rows.select("entry", "item", "n", F.coalesce("component", "label").alias("label")), "ngram-labelled")
-    several = rows.groupBy("entry").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("entry")
-    return staged(rows.join(several, "entry", "left_semi"), "ngram-open")
-
-
-def stars(rows: DataFrame, seed: int) -> DataFrame:
-    """(a, b, la, lb): each item b with the leader a of another label that it shares most entries with; an entry's leader is drawn by the seed."""
-    drawn = F.min(F.struct(F.xxhash64("item", F.lit(seed)).alias("h"), "item", "n", "label"))
-    led = rows.join(rows.groupBy("entry").agg(drawn.alias("lead")), "entry")
-    met = led.where(F.col("label") != F.col("lead.label")).where(close_enough("n", "lead.n"))
+    rows = staged(rows.select("entry", "item", "size", F.coalesce("component", "label").alias("label")), "ngram-labelled")
+    several = rows.groupBy("entry").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("held")).where("lo <> hi").select("entry", "held")
+    return staged(rows.join(several, "entry"), "ngram-open")
+
+
+def n_of(size: str | Column) -> Column:
+    return F.shiftright(size, 32).cast("int")
+
+
+def stars(rows: DataFrame, turn: int) -> DataFrame:
+    """(a, b, la, lb): each item b with the leader a of another label that it shares most entries with.
+
+    An entry has a leader for each class of sizes (a factor of 4/3), and items meet those of their own and the two neighbouring classes, so
+    all that may link with a leader meet it. The leader is the item with the largest part of its shingles among open entries; from the
+    second turn on parts are weighed at random, so that others have a turn.
+    """
+    part = F.count("*") / F.first(n_of("size"))
+    if turn:
+        part = part * (0.5 + F.pmod(F.xxhash64("item", F.lit(turn)), F.lit(1 << 20)) / float(2 << 20))
+    central = rows.groupBy("item").agg(part.alias("part"))
+    band = F.floor(F.log(n_of("size")) / math.log(DEN / NUM)).cast("int")
+    rows = rows.join(central, "item").withColumn("n", n_of("size")).withColumn("band", band)
+    drawn = F.max(F.struct("part", "item", "n", "label"))
+    leaders = rows.groupBy("entry", "band").agg(drawn.alias("lead"))
+    leaders = leaders.withColumn("band", F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))))
+    met = rows.join(leaders, ["entry", "band"]).where(F.col("label") != F.col("lead.label")).where(close_enough("n", "lead.n"))
     shared = met.groupBy(F.col("lead.item").alias("a"), F.col("item").alias("b")).agg(F.count("*").alias("c"), F.max("lead.label").alias("la"), F.max("label").alias("lb"), F.max(F.least("n", "lead.n")).alias("n"))
     best = shared.where("c * 20 >= n").groupBy("b").agg(F.max(F.struct("c", "a", "la", "lb")).alias("m"))
     return best.select("m.a", "b", "m.la", "m.lb")
@@ -323,31 +441,30 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str
         links.append(staged(verified(pairs, held), "ngram-links"))
         return links[-1]
 
-    # each item and one other: first the entries' first items, then leaders drawn among what is still apart
-    met = multi.where("item <> leader").where(close_enough("n", "leader_n")).groupBy(F.col("item").alias("b"), F.col("leader").alias("a")).agg(F.count("*").alias("c"), F.max(F.least("n", "leader_n")).alias("n"))
+    # each item and one other: first the entries' first items, then leaders among what is still apart
+    met = multi.select(F.col("item").alias("b"), F.col("leader").alias("a"), n_of("size").alias("n"), n_of("leader_size").alias("leader_n"))
+    met = met.where("a <> b").where(close_enough("n", "leader_n")).groupBy("b", "a").agg(F.count("*").alias("c"), F.max(F.least("n", "leader_n")).alias("n"))
     pairs = met.where("c * 20 >= n").groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select(F.col("m.a").alias("a"), "b", F.col("m.a").alias("la"), F.col("b").alias("lb"))
-    rows = multi.select("entry", "item", "n", F.col("item").alias("label"))
-    for turn in range(STAR_ROUNDS):
+    rows = multi.select("entry", "item", "size", F.col("item").alias("label"))
+    turn = 0
+    while True:
         found = check(pairs)
         rows = relabelled(rows, components(found.select(F.col("la").alias("a"), F.col("lb").alias("b"))))
-        if found.count() * 50 < rows.select("item").distinct().count():
-            break  # no hot group is left to close
-        pairs = stars(rows, turn)
-
-    # pairs of different labels that the parity sketches allow, counted over all their entries
-    rows = rows.join(items.select("item", "bits"), "item")
-    one, two = (rows.select("entry", *(F.col(c).alias(f"{c}{i}") for c in ("item", "n", "label", "bits"))) for i in (1, 2))
-    differ = sum(F.bit_count(F.get("bits1", F.lit(i)).bitwiseXOR(F.get("bits2", F.lit(i)))) for i in range(PARITY))
+        hot = rows.where(F.col("held") > STAR_ITEMS)
+        n_hot = hot.select("item").distinct().count()
+        if not n_hot or (turn and found.count() * STAR_GAIN < n_hot):
+            break  # what is left is few, or not for leaders to tie
+        pairs = stars(hot, turn)
+        turn += 1
+
+    # pairs of different labels that the shingles before their entry and the parity sketches allow
+    rows = rows.join(items.select("item", "bits"), "item").withColumn("n", n_of("size")).withColumn("before", F.col("size").bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+    one, two = (rows.select("entry", *(F.col(c).alias(f"{c}{i}") for c in ("item", "n", "before", "label", "bits"))) for i in (1, 2))
     size = F.col("n1") + F.col("n2")
-    overlap = F.ceil(size * NUM / (NUM + DEN))
-    met = one.join(two, (one["entry"] == two["entry"]) & (one["item1"] < two["item2"]) & (one["label1"] != two["label2"]) & close_enough("n1", "n2") & (differ <= size - 2 * overlap))
-    odd = one["entry"].bitwiseAND(F.lit(1))
-    counted = met.groupBy(F.col("item1").alias("a"), F.col("item2").alias("b")).agg(*(F.max(c).alias(c) for c in ("n1", "n2", "label1", "label2")), F.sum(1 - odd).alias("singles"), F.sum(odd).alias("pairs"))
-    # at most so many of the first shingles are common; what lies behind them can add no more than its number
-    frequent = F.when(F.col("pairs") == 0, 1).otherwise(F.ceil((1 + F.sqrt(1 + 8 * F.col("pairs"))) / 2))
-    first = lambda n: F.least(F.col(n), F.col(n) - F.ceil(F.col(n) * NUM / DEN) + 2)
-    behind = F.greatest(F.col("n1") - first("n1"), F.col("n2") - first("n2"))
-    check(counted.where(F.col("singles") + frequent >= overlap - behind).select("a", "b", F.col("label1").alias("la"), F.col("label2").alias("lb")))
+    overlap = F.ceil(size * NUM / (NUM + DEN))  # the least that linked sets of these sizes have in common
+    met = one.join(two, (one["entry"] == two["entry"]) & (one["item1"] < two["item2"]) & (one["label1"] != two["label2"]) & close_enough("n1", "n2") & (F.col("n1") - F.col("before1") >= overlap) & (F.col("n2") - F.col("before2") >= overlap) & (differing("bits1", "bits2") <= size - 2 * overlap))
+    met = met.groupBy(F.col("item1").alias("a"), F.col("item2").alias("b")).agg(F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.max("label1").alias("la"), F.max("label2").alias("lb"))
+    check(sketched(staged(met, "ngram-candidates"), sets))
 
     every = links[0]
     for more in links[1:]:
@@ -358,5 +475,4 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str
     tied = join_groups(tied, least, ["component"], "n_items", tied.count(), F.col("node"))
     named = items.join(tied.select(F.col("node").alias("item"), "least"), "item", "left").select("item", "n_docs", F.coalesce("least", "rep").alias("component"))
     out = join_groups(sets.select("id", "n", "item"), named, ["item"], "n_docs", sets.count(), F.col("id"))
-    kind = docs.schema[id_col].dataType
-    return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").cast(kind).alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

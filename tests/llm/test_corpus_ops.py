@@ -137,9 +137,9 @@ def near_copies(rng):
     return texts
 
 
-@pytest.mark.parametrize(("frequent", "means", "combined", "few"), [(16, 8, 64, 1000), (2, 0, 64, 1000), (2, 0, 20, 0), (1 << 30, 8, 64, 1000)])
-def test_ngram_join(spark, monkeypatch, frequent, means, combined, few):
-    for name, value in (("FREQUENT", frequent), ("FREQUENT_MEANS", means), ("FEW_ITEMS", few)):
+@pytest.mark.parametrize(("frequent", "spreads", "combined", "few"), [(16, 8, 64, 1000), (2, 0, 64, 1000), (2, 0, 20, 0), (1 << 30, 8, 64, 1000)])
+def test_ngram_join(spark, monkeypatch, frequent, spreads, combined, few):
+    for name, value in (("FREQUENT", frequent), ("FREQUENT_SPREADS", spreads), ("FEW_ITEMS", few), ("COMBINED", combined)):
         monkeypatch.setattr(ngram_join, name, value)
     texts = near_copies(random.Random(9))
     df = documents(spark, texts).repartition(6).withColumn("item", F.lit("clash"))
@@ -160,10 +160,29 @@ def test_index_entries_meet():
         of = {int(h): int(c) for h, c in zip(np.union1d(x, y), rng.integers(0, 3, len(np.union1d(x, y))), strict=True)}
         common = len(np.intersect1d(x, y))
         if 4 * common >= 3 * (len(x) + len(y) - common):
-            entries = [ngram_join.index_entries(s, np.array([of[int(h)] for h in s], dtype=np.uint8)) for s in (x, y)]
-            assert len(np.intersect1d(*entries))
-            bits = ngram_join.parity(x) ^ ngram_join.parity(y)
-            assert np.unpackbits(bits.view(np.uint8)).sum() <= len(x) + len(y) - 2 * common
+            differ = len(x) + len(y) - 2 * common
+            (ex, px), (ey, py) = (ngram_join.index_entries(s, np.array([of[int(h)] for h in s], dtype=np.uint8)) for s in (x, y))
+            both = np.intersect1d(ex, ey)
+            assert any(min(len(x) - px[np.searchsorted(ex, e)], len(y) - py[np.searchsorted(ey, e)]) >= common for e in both)
+            sketches = [ngram_join.parity(s) for s in (x, y)]
+            assert np.bitwise_count(np.bitwise_xor(*(ngram_join.folded(s, min(map(len, sketches))) for s in sketches))).sum() <= differ
+
+
+def test_small_parities_of_all_sizes(spark):
+    import numpy as np
+
+    rng, rows, wanted = np.random.default_rng(12), [], []
+    for n in (0, 1, 3, 31, 63, 64, 65, 100, 127, 128, 129, 250, 300, 511, 513, 700, 1030, 4000, 5000):
+        x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate((x[: n - n // 8], rng.integers(0, 2**63, n // 4, dtype=np.uint64))))
+        one, two = (ngram_join.small_parity(ngram_join.parity(s), len(s)) for s in (x, y))
+        least = min(len(one), len(two)) * 2 // 3
+        rows.append(([int(w) for w in one], [int(w) for w in two]))
+        plain = [ngram_join.folded(ngram_join.parity(s), 8 * least) for s in (x, y)]
+        wanted.append(int(np.bitwise_count(plain[0] ^ plain[1]).sum()))
+        assert wanted[-1] <= len(np.setxor1d(x, y)) and least >= 2
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, x array<long>, y array<long>")
+    assert [r.d for r in df.select("i", ngram_join.differing("x", "y").alias("d")).orderBy("i").collect()] == wanted
 
 
 def test_ngram_join_odd_tables(spark):

@@ -15,13 +15,17 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 #: At most this many groups can each hold a thousandth of all rows, so a table of such groups is bounded.
 HOT_SHARE = 1000
+#: Rows of a list (100 bytes each or so) that is sent to all executors, so that what it meets needn't travel.
+FEW_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one is set only where it is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; a local one is set only where it is unset and all runs on one machine, as in tests."""
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         context.setCheckpointDir("file://" + os.path.join(tempfile.gettempdir(), "spanloom-shared"))
         path = context.getCheckpointDir()
     return path.rstrip("/")
@@ -49,6 +53,12 @@ def drop_staged(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sent_if_few(df: DataFrame, name: str, most: int = FEW_ROWS) -> DataFrame:
+    """df, staged and counted: to be broadcast if it has few rows, else to be joined by shuffle."""
+    df = staged(df, name)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -15,17 +15,18 @@ from .common import join_groups, staged, text_or_empty, without_spaces
 
 #: Characters of the normalised text under the prefix hash.
 PREFIX = 64
-#: Groups of length and prefix (20 bytes each) that are sent to all executors.
-FEW_GROUPS = 200_000
+#: Groups of length and prefix (20 bytes each) that are sent to all executors; of more groups, only which of so many hash
+#: buckets have one.
+FEW_GROUPS, BUCKETS = 200_000, 1 << 20
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", prefix: int = PREFIX, all_digests: bool = False) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256 of the normalised text, and n_points (the text's code points).
 
-    The first pass keeps the id, the number of code points, the length and a prefix hash. Rows alone with their length and prefix
-    are settled there. Only the others need their full text, in a second pass from which just
-    32 bytes a row travel. With all_digests every text is hashed (the caller wants the digests), in the first pass.
-    text_sha256 is null for settled rows otherwise. Equal SHA-256 counts as equal text.
+    The first pass keeps the id, the number of code points, the length and a prefix hash. Rows alone with their length, then rows
+    alone with their length and prefix, are settled there. The second pass hashes the full texts of the others where they are
+    read, so just 32 bytes a row travel, and only they are grouped by it. With all_digests it hashes the settled texts too,
+    for the column alone; text_sha256 is null for settled rows otherwise. Equal SHA-256 counts as equal text.
     """
     body = text_or_empty(text)
     norm = without_spaces(body)
@@ -33,39 +34,33 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", pre
     full = full_of(norm)
     if id_col in ("n_points", "n_norm", "n_prefix", "digest", "kept", "keep_id", "group_size"):
         raise ValueError(f"{id_col} is the name of a result column")
-    first = docs.select(
-        F.col(id_col),
-        F.length(body).alias("n_points"),
-        F.length(norm).alias("n_norm"),
-        F.xxhash64(F.substring(norm, 1, prefix)).alias("n_prefix"),
-        *([full.alias("digest")] if all_digests else []),
-    )
-    first = staged(first, "exact-first")
+    size, head = F.length(norm).alias("n_norm"), F.xxhash64(F.substring(norm, 1, prefix)).alias("n_prefix")
+    first = staged(docs.select(F.col(id_col), F.length(body).alias("n_points"), size, head), "exact-first")
     total = first.count()
     spread = F.struct(id_col, "n_points")
 
     # lengths, then length and prefix: groups of one are settled without their full text
     by_length = first.groupBy("n_norm").agg(F.count("*").alias("n_same")).where("n_same > 1")
     by_prefix = first.groupBy("n_norm", "n_prefix").agg(F.count("*").alias("n_same")).where("n_same > 1").join(by_length.select("n_norm"), "n_norm", "left_semi")
-    if all_digests:
-        rows, key = first, ["n_norm", "n_prefix", "digest"]
-    else:
-        again = docs.select(F.col(id_col), F.length(body).alias("n_points"), F.length(norm).alias("n_norm"), F.xxhash64(F.substring(norm, 1, prefix)).alias("n_prefix"), norm.alias("norm"))
-        by_prefix = staged(by_prefix, "exact-prefix")
-        if by_prefix.count() <= FEW_GROUPS:  # few enough to send everywhere: only texts of open groups are hashed, and none travels
-            open_ = again.join(F.broadcast(by_prefix), ["n_norm", "n_prefix"], "left").withColumn("digest", F.when(F.col("n_same").isNotNull(), full_of(F.col("norm")))).drop("norm")
-        else:  # texts are hashed where they are read, so that only hashes travel
-            hashed = again.withColumn("digest", full_of(F.col("norm"))).drop("norm")
-            open_ = join_groups(hashed, by_prefix, ["n_norm", "n_prefix"], "n_same", total, spread)
-            open_ = open_.withColumn("digest", F.when(F.col("n_same").isNotNull(), F.col("digest")))
-        rows = staged(open_.drop("n_same"), "exact-open")
-        key = ["n_norm", "n_prefix", "digest"]
+    by_prefix = staged(by_prefix.select("n_norm", "n_prefix", F.lit(True).alias("_open")), "exact-prefix")
+    again = docs.select(F.col(id_col), F.length(body).alias("n_points"), size, head, norm.alias("norm"))
+    if by_prefix.count() <= FEW_GROUPS:
+        met = again.join(F.broadcast(by_prefix), ["n_norm", "n_prefix"], "left")
+    else:  # texts that merely share a bucket with an open group are hashed too, and settled by the hash
+        bucket = F.pmod(F.xxhash64("n_norm", "n_prefix"), F.lit(BUCKETS)).alias("_bucket")
+        met = again.withColumn("_bucket", bucket).join(F.broadcast(by_prefix.select(bucket, "_open").distinct()), "_bucket", "left")
+    met = met.select(id_col, "n_points", "n_norm", "n_prefix", F.col("_open").isNotNull().alias("_open"), "norm")
+    hashed = full_of(F.col("norm")) if all_digests else F.when(F.col("_open"), full_of(F.col("norm")))
+    rows = staged(met.withColumn("digest", hashed).drop("norm"), "exact-open")
+    open_, settled = rows.where("_open"), rows.where("not _open")
 
     # full hash: the row that stays is the smallest of (-code points, id)
+    key = ["n_norm", "n_prefix", "digest"]
     best = F.min(F.struct((-F.col("n_points")).alias("m"), F.col(id_col).alias("i")))
-    groups = rows.where(F.col("digest").isNotNull()).groupBy(*key).agg(best.alias("_best"), F.count("*").alias("group_size")).where("group_size > 1")
+    groups = open_.groupBy(*key).agg(best.alias("_best"), F.count("*").alias("group_size")).where("group_size > 1")
     groups = groups.select(*key, F.col("_best.i").alias("keep_id"), F.col("_best.m").alias("_m"), "group_size")
-    out = join_groups(rows, groups, key, "group_size", total, spread)
+    out = join_groups(open_, groups, key, "group_size", total, spread)
+    out = out.unionByName(settled, allowMissingColumns=True)
     return out.select(
         id_col,
         F.when(F.col("group_size").isNull(), F.col(id_col)).otherwise(F.col("keep_id")).alias("keep_id"),

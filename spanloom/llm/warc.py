@@ -1,7 +1,8 @@
 """A deterministic, sharded WARC writer and its reader.
 
-Records are dealt to shards by ranges of their integer id. The ranges come from an exact histogram of
-payload bytes over at most MAX_BUCKETS equal id ranges, so they depend on the data alone, not on the cluster. Each
+Records are dealt to shards by ranges of their id, an integer or a string, and within an id by their digest. The ranges are cut at
+ids of the data itself, chosen by their hash (CUTS or so, wherever the ids lie), and put together by an exact histogram of
+payload bytes between them, so they depend on the data alone, not on the cluster. Each
 shard is sorted and written as files that roll at a compressed size; every record is a gzip member of its own.
 Headers, record ids and digests are made anew from the record. A file is written under a temporary
 name and renamed when complete; since files are the same whoever writes them, a repeated task changes nothing.
@@ -11,7 +12,7 @@ Of records with equal payloads of at least min_payload bytes the one with the sm
 others are revisits without a payload that refer to it.
 
 Defined results: a null payload is empty; a null or unusable URL becomes urn:page:<id>; a record with a null
-id is always a response and goes to the first shard; of repeated rows with the same id and payload one is the response or,
+id is always a response, and such records are dealt by digest; of repeated rows with the same id and payload one is the response or,
 if a smaller id has it, none; the others are revisits. An empty table makes no file.
 """
 
@@ -22,13 +23,18 @@ import hashlib
 import urllib.parse
 import uuid
 import zlib
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from .common import join_groups, staged, staged_path
 
-MAX_BUCKETS = 1 << 16
+#: Cuts, in the mean, between the ranges of the histogram; and classes of digests for records without an id.
+CUTS, NULL_CLASSES = 20_000, 1024
 #: Small inputs are still dealt to so many shards, unless these would fall under LEAST_SHARD bytes.
 USUAL_SHARDS = 256
 LEAST_SHARD, MOST_SHARD = 1 << 16, 1 << 28
@@ -40,6 +46,8 @@ MANIFEST = "path string, shard int, seq int, n_records long, n_bytes long, sha25
 def _filesystem(uri: str):
     from pyarrow import fs
 
+    for name in ("s3a://", "s3n://"):  # names of Hadoop's own for the same store
+        uri = uri.replace(name, "s3://", 1) if uri.startswith(name) else uri
     return fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1) if uri.startswith("file:") else f"file://{uri}")
 
 
@@ -75,14 +83,15 @@ def make_record(key, url: str | None, payload: bytes, digest: str, refers_to, nu
         ("Content-Type", "application/http; msgtype=response"),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}"),
-        ("X-Page-ID", "" if key is None else str(key)),
         ("X-Payload-Length", str(len(payload))),
     ]
+    if key is not None:
+        headers.append(("X-Page-ID", urllib.parse.quote(str(key))))
     if refers_to:
         headers += [
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
             ("WARC-Refers-To", record_id(refers_to[0], digest)),
-            ("X-Refers-To-Page", str(refers_to[0])),
+            ("X-Refers-To-Page", urllib.parse.quote(str(refers_to[0]))),
         ]
     return _member(headers, block)
 
@@ -166,18 +175,24 @@ def _writer(root_uri: str, roll: int):
 
 def write_warc(pages: DataFrame, root: str, id_col: str = "page_id", url: str = "url", payload: str = "html", min_payload: int = 0, roll: int = ROLL_BYTES) -> DataFrame:
     """Writes pages as archives below root, commits their manifest and returns it."""
-    body = F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url).alias("url"), F.col(payload).alias("html"))
-    keys = staged(pages.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha1(body)).alias("digest"), F.octet_length(body).cast("long").alias("n_bytes")), "warc-keys")
-    total, low, high, size = keys.agg(F.count("*"), F.min("id"), F.max("id"), F.sum(F.col("n_bytes") + 512)).first()
-    low, high, size = low or 0, high or 0, size or 0
-
-    # shards: an exact histogram over equal id ranges, cut where enough bytes have come together
+    kind = pages.schema[id_col].dataType
+    if not isinstance(kind, T.IntegralType | T.StringType):
+        raise TypeError(f"{id_col} must be an integer or a string")
+    digest = F.unhex(F.sha1(F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8")))
+    n_bytes = F.octet_length(F.coalesce(F.col(payload), F.lit(""))).cast("long")
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.col(payload).alias("html"), F.xxhash64(digest).alias("place"))
+    keys = staged(pages.select(F.col(id_col).alias("id"), digest.alias("digest"), n_bytes.alias("n_bytes")).withColumn("place", F.xxhash64("digest")), "warc-keys")
+    total, size = keys.agg(F.count("*"), F.sum(F.col("n_bytes") + 512)).first()
+    size = size or 0
+
+    # shards: an exact histogram over ranges between cuts, put together where enough bytes have come together
     target = min(max(size // USUAL_SHARDS, LEAST_SHARD), MOST_SHARD)
-    buckets = min(MAX_BUCKETS, max(1, 4 * (size // target + 1)), high - low + 1)
-    width = -(-(high - low + 1) // buckets)
-    bucket = F.coalesce(F.expr(f"(id - {low}L) div {width}L"), F.lit(0).cast("long"))
-    heights = dict(keys.groupBy(bucket.alias("b")).agg(F.sum(F.col("n_bytes") + 512)).collect())  # at most MAX_BUCKETS rows
+    drawn = keys.where("id is not null").where(F.pmod(F.xxhash64("id", "place"), F.lit(max(1, total // CUTS))) == 0).select("id", "place").distinct()
+    cuts = sorted(map(tuple, drawn.collect()))  # CUTS or so of them
+    none = F.lit(0 if isinstance(kind, T.IntegralType) else "").cast(kind)
+    after = F.pandas_udf(lambda ids, places: ids.__class__([bisect_right(cuts, (i, p)) for i, p in zip(ids.tolist(), places.tolist(), strict=True)], dtype="int64"), "long")
+    bucket = F.when(F.col("id").isNull(), -1 - F.pmod("place", F.lit(NULL_CLASSES))).otherwise(after(F.coalesce("id", none), F.col("place")))
+    heights = dict(keys.groupBy(bucket.alias("b")).agg(F.sum(F.col("n_bytes") + 512)).collect())  # a row a range
     shards, before = [], 0
     for b in sorted(heights):
         shards.append((b, before // target))
@@ -186,9 +201,9 @@ def write_warc(pages: DataFrame, root: str, id_col: str = "page_id", url: str =
 
     # revisits: the digests alone meet, not the payloads
     firsts = keys.where((F.col("n_bytes") >= min_payload) & F.col("id").isNotNull()).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    marks = join_groups(keys.select("id", "digest"), firsts, ["digest"], "n", total, F.col("id")).where("first is not null").select("id", "digest", F.col("first").alias("refers_to"))
-    events = rows.select("id", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("long").alias("refers_to")).unionByName(
-        marks.select("id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to")
+    marks = join_groups(keys.select("id", "digest", "place"), firsts, ["digest"], "n", total, F.col("id")).where("first is not null").select("id", "digest", "place", F.col("first").alias("refers_to"))
+    events = rows.select("id", "place", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("binary").alias("digest"), F.lit(None).cast(kind).alias("refers_to")).unionByName(
+        marks.select("id", "place", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to")
     )
     places = pages.sparkSession.createDataFrame(shards, "b long, shard int")
     dealt = events.withColumn("b", bucket).join(F.broadcast(places), "b").select("shard", "id", "kind", "url", "html", "digest", "refers_to")
@@ -224,39 +239,41 @@ def parse_members(stream, chunk: int = 1 << 20):
         raise ValueError("the file breaks off")
 
 
-READ = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
+READ = "page_id {kind}, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to {kind}"
+
 
+def read_warc(spark: SparkSession, root: str, with_payload: bool = True, kind: str = "long") -> DataFrame:
+    """The records of the committed archives below root, with ids of the given type. Digests of responses are computed again and must agree with the headers; a revisit's are its response's."""
+    schema = READ.format(kind=kind) if with_payload else READ.format(kind=kind).replace(" payload binary,", "")
+    target = to_arrow_schema(_parse_datatype_string(schema))
 
-def read_warc(spark: SparkSession, root: str, with_payload: bool = True) -> DataFrame:
-    """The records of the committed archives below root. Digests of responses are computed again and must agree with the headers; a revisit's are its response's."""
-    schema = READ if with_payload else READ.replace(" payload binary,", "")
+    def id_of(text):
+        if text is None:
+            return None
+        return urllib.parse.unquote(text) if kind == "string" else int(text)
 
     def run(batches):
         import pyarrow as pa
 
         filesystem, base = _filesystem(root)
-        types = [pa.int64(), pa.string(), *([pa.binary()] if with_payload else []), pa.int64(), pa.string(), pa.string(), pa.int64()]
-        names = [c.split()[0] for c in schema.split(", ")]
-
         def batch_of(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(c, type=field.type) for c, field in zip(zip(*rows, strict=True), target, strict=True)], schema=target)
 
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 rows, held = [], 0
                 with filesystem.open_input_stream(f"{base}/{name}", compression=None) as stream:
                     for headers, block in parse_members(stream):
-                        kind = headers["WARC-Type"]
-                        if kind not in ("response", "revisit"):
+                        record = headers["WARC-Type"]
+                        if record not in ("response", "revisit"):
                             continue
                         digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
                         size = int(headers["X-Payload-Length"])
-                        payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
+                        payload = block.partition(b"\r\n\r\n")[2] if record == "response" else None
                         if payload is not None and (len(payload) != size or base32_sha1(payload) != digest):
                             raise ValueError(f"digest of {headers['WARC-Record-ID']} in {name}")
-                        key = int(headers["X-Page-ID"]) if headers["X-Page-ID"] else None
-                        refers = int(headers["X-Refers-To-Page"]) if kind == "revisit" else None
-                        rows.append((key, headers["WARC-Target-URI"], *([payload] if with_payload else []), size, digest, kind, refers))
+                        key, refers = id_of(headers.get("X-Page-ID")), id_of(headers.get("X-Refers-To-Page"))
+                        rows.append((key, headers["WARC-Target-URI"], *([payload] if with_payload else []), size, digest, record, refers))
                         held += len(payload or b"") if with_payload else 0
                         if len(rows) >= 5000 or held > 1 << 24:
                             yield batch_of(rows)
@@ -272,4 +289,4 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url: str = "url", payl
     """Writes pages to a new place in the shared folder and reads the archives back."""
     root = staged_path(pages.sparkSession, "warc")
     write_warc(pages, root, id_col, url, payload, min_payload)
-    return read_warc(pages.sparkSession, root, with_payload=False)
+    return read_warc(pages.sparkSession, root, with_payload=False, kind=pages.schema[id_col].dataType.simpleString())

@@ -74,9 +74,10 @@ def test_suffix_dedup_odd_ids(spark):
 
 
 @pytest.mark.parametrize("all_digests", [True, False])
-@pytest.mark.parametrize("few", [0, 1000])
-def test_exact_dedup(spark, monkeypatch, all_digests, few):
+@pytest.mark.parametrize(("few", "buckets"), [(0, 5), (0, 1 << 20), (1000, 1 << 20)])
+def test_exact_dedup(spark, monkeypatch, all_digests, few, buckets):
     monkeypatch.setattr(exact_dedup, "FEW_GROUPS", few)
+    monkeypatch.setattr(exact_dedup, "BUCKETS", buckets)
     rng = random.Random(8)
     texts = [*ODD, *(rng.choice([" ", "", "\n"]).join(rng.choice(["ab", "a b", "a", "b" * 70, "b" * 70 + "c"])) for _ in range(150))]
     df = documents(spark, texts).withColumn("group_size", F.lit("clash"))
@@ -85,7 +86,7 @@ def test_exact_dedup(spark, monkeypatch, all_digests, few):
         same = [i for i, n in enumerate(norm) if n == norm[r.doc_id]]
         keep = min(same, key=lambda i: (-len(texts[i] or ""), i))
         assert (r.keep_id, r.group_size, r.kept) == (keep, len(same), keep == r.doc_id)
-        if all_digests or len(same) > 1:
+        if all_digests or len(same) > 1 or r.text_sha256 is not None:
             assert r.text_sha256 == hashlib.sha256(norm[r.doc_id].encode()).hexdigest()
     assert exact_dedup.exact_dedup(df.limit(0), all_digests=all_digests).count() == 0
 
@@ -185,6 +186,13 @@ def test_small_parities_of_all_sizes(spark):
     assert [r.d for r in df.select("i", ngram_join.differing("x", "y").alias("d")).orderBy("i").collect()] == wanted
 
 
+def test_ngram_join_string_ids(spark):
+    rows = [("b", "a b c d e f g h i j"), ("a", "a b c d e f g h i j k"), ("10", "p q"), ("9", "P  q"), (None, "a b c d e f g h i j k l")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted((r.doc_id or "", r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_components(df).collect())
+    assert got == [("", 8, "a"), ("10", 1, "10"), ("9", 1, "10"), ("a", 7, "a"), ("b", 6, "a")]
+
+
 def test_ngram_join_odd_tables(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (7, None)], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_components(df).collect())
@@ -305,6 +313,26 @@ def test_warc_is_deterministic_and_rolls(spark, tmp_path):
         warc.read_warc(spark, f"file://{tmp_path}/0").collect()
 
 
+def test_warc_shards_follow_the_ids(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "LEAST_SHARD", 1 << 12)
+    rows = [(i, f"http://x/{i}", f"<p>{i}</p>" * 20, "en") for i in range(300)] + [(None, "http://n", f"no id {i} " * 20, "en") for i in range(100)] + [(7, "http://h", f"hot {i} " * 30, "en") for i in range(100)]
+    shards = {}
+    for name, extra in (("near", []), ("far", [(1 << 60, "http://far", "x", "en")])):
+        made = warc.write_warc(pages(spark, rows + extra), f"file://{tmp_path}/{name}").collect()
+        shards[name] = len({r.shard for r in made})
+        assert sum(r.n_records for r in made) == len(rows + extra) and max(r.n_records for r in made) < 100
+    assert abs(shards["near"] - shards["far"]) <= 1 and shards["near"] > 10
+
+
+def test_warc_string_ids(spark):
+    rows = [("b", "http://x", "same", "en"), ("a\r\n:é", "http://x", "same", "en"), ("", "http://x", "same", "en"), (None, "http://x", "same", "en"), ("10", "http://x", "other", "en"), ("9", "http://x", "other", "en")]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string, lang string")
+    got = sorted((r.page_id is None, r.page_id or "", r.record_type, r.refers_to) for r in warc.round_trip(df).collect())
+    assert got == [(False, "", "response", None), (False, "10", "response", None), (False, "9", "revisit", "10"), (False, "a\r\n:é", "revisit", ""), (False, "b", "revisit", ""), (True, "", "response", None)]
+    with pytest.raises(TypeError, match="integer or a string"):
+        warc.round_trip(df.select(F.lit(1.5).alias("page_id"), "url", "html"))
+
+
 def test_warc_odd_tables(spark):
     df = pages(spark, [(None, "http://x", "p", "en"), (4, "http://x", "p", "en"), (4, "http://x", "p", "en"), (4, "http://x", "q", "en"), (9, "http://x", "q", "en"), (None, None, None, None)])
     got = sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in warc.round_trip(df).collect())

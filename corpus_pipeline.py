@@ -13,28 +13,39 @@ from spanloom.llm import common, exact_dedup, ngram_join, packing, pii, quality_
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that break no quality rule."""
+    """Documents that break no quality rule. Null and empty texts break one; repeated rows are judged each for itself; an empty table stays empty."""
     return quality_rules.quality_rules(docs).where("kept").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts. Rows that repeat id and text are one document."""
-    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+    """One document of each group of equal texts. Rows that repeat id and text are one document.
+
+    Null counts as the empty text; an empty table stays empty. Documents are found by id, and by text too only where ids repeat; few
+    of them to drop are sent to where the texts are read.
+    """
+    repeats = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    if repeats:
         docs = docs.dropDuplicates(["doc_id", "text"])
     gone = exact_dedup.exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("n_points").alias("_n"), F.col("text_sha256").alias("_sha"))
-    body = common.text_or_empty("text")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.length(body) == F.col("_n")) & (F.sha2(F.encode(common.without_spaces(body), "UTF-8"), 256) == F.col("_sha"))
-    return docs.join(gone, same, "left_anti").select(*docs.columns)
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    if repeats:
+        body = common.text_or_empty("text")
+        same = same & (F.length(body) == F.col("_n")) & (F.sha2(F.encode(common.without_spaces(body), "UTF-8"), 256) == F.col("_sha"))
+    return docs.join(common.sent_if_few(gone, "pipeline-gone"), same, "left_anti").select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    gone = ngram_join.ngram_jaccard_components(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The document with the smallest id of each group of near copies.
+
+    Null and empty texts are linked with nothing and stay, as do documents without an id; an empty table stays empty; documents
+    that share an id stay or go together, by what their texts are linked with.
+    """
+    gone = ngram_join.ngram_jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(common.sent_if_few(gone, "pipeline-near"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data masked, and their new lengths."""
+    """Documents with personal data masked, and their new lengths. Null texts stay null; repeated rows are masked alike; an empty table stays empty."""
     masked = pii.mask_pii(docs)
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -42,7 +53,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces and their places in sequences."""
+    """The documents' pieces and their places in sequences. A null or empty text is the closing id alone; repeated rows are packed each for itself; an empty table gives no rows."""
     found = packing.best_fit_packing(docs, queries.tokenizer_file("word_bpe_49k.json"))
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

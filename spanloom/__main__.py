@@ -22,14 +22,15 @@ def parse(arguments: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--tempo", type=float)
     parser.add_argument("--repeats", type=int, help="has no effect while dynamic repetitions are on")
     parser.add_argument("--pause", type=int, dest="pause_ms")
-    parser.add_argument("--method", default="fuzzy", help="fuzzy here; external and hybrid need a provider and are for the library")
+    parser.add_argument("--method", help="instead of the configured one; external needs a provider and is for the library, hybrid is fuzzy alone without one")
     return parser.parse_args(arguments)
 
 
 def run(spark: SparkSession, options: argparse.Namespace) -> None:
     changes = {k: v for k in ("tempo", "repeats", "pause_ms") if (v := getattr(options, k)) is not None}
     own = config.load(options.config, **changes)
-    own = config.merge(own, {"alignment": {"method": options.method}})
+    if options.method:
+        own = config.merge(own, {"alignment": {"method": options.method}})
     recordings = readers.read_recordings(spark, options.recordings) if options.recordings else None
     overrides = readers.read_overrides(spark, options.overrides) if options.overrides else None
     made = build(readers.read_texts(spark, options.texts), readers.read_words(spark, options.words), own, overrides=overrides, recordings=recordings)

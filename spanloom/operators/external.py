@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -65,7 +66,7 @@ def _ask(provider: Provider, sentence: str, words: list[dict], retries: int, del
 def align_external(docs: DataFrame, provider: Provider, config: Config = Config()) -> DataFrame:
     """Rows as of align() without word places, for docs (doc_id, sentences, words): status ok, warning (confidence under 0.9) or failed.
 
-    At most max_workers tasks call at a time; sentences are independent, so spans may overlap.
+    A task calls for up to max_workers sentences of a document at a time; sentences are independent, so spans may overlap.
     """
     kind, ext, pad = docs.schema["doc_id"].dataType.simpleString(), config.external, config.pad_ms
 
@@ -76,8 +77,10 @@ def align_external(docs: DataFrame, provider: Provider, config: Config = Config(
             rows = []
             for doc, sentences, words in zip(batch["doc_id"], batch["sentences"], batch["words"], strict=True):
                 spoken = [dict(w) for w in (words if words is not None else ())]
-                for idx, text in enumerate(sentences if sentences is not None else (), start=1):
-                    reply = _ask(provider, text, spoken, ext.max_retries, ext.retry_delay)
+                texts = list(sentences) if sentences is not None else []
+                with ThreadPoolExecutor(ext.max_workers) as pool:
+                    replies = list(pool.map(lambda text, spoken=spoken: _ask(provider, text, spoken, ext.max_retries, ext.retry_delay), texts))
+                for idx, (text, reply) in enumerate(zip(texts, replies, strict=True), start=1):
                     if reply is None:
                         rows.append((doc, idx, text, "failed", None, "no times found", None, None))
                     else:
@@ -89,4 +92,6 @@ def align_external(docs: DataFrame, provider: Provider, config: Config = Config(
             out["score"] = out["score"].astype("float64")
             yield out
 
-    return docs.select("doc_id", "sentences", "words").repartition(ext.max_workers).mapInPandas(run, f"doc_id {kind}, {REPLY}")
+    # a document is seconds of calls: worth dealing out what few files hold
+    docs = docs.select("doc_id", "sentences", "words").repartition(docs.sparkSession.sparkContext.defaultParallelism * 2, "doc_id")
+    return docs.mapInPandas(run, f"doc_id {kind}, {REPLY}")

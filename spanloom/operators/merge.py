@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,9 +47,12 @@ def details(spans: DataFrame, method: str, place: int = 0) -> DataFrame:
 def route(docs: DataFrame, config: Config, provider: external.Provider | None = None) -> tuple[DataFrame, DataFrame]:
     """(spans, details) of docs (doc_id, sentences, words) by config.alignment.method: external, hybrid, or any other for fuzzy alone.
 
-    A provider that is missing is an error for external and hybrid.
+    Without a provider hybrid is fuzzy alone, with a warning, and external is an error.
     """
     method = config.alignment.method
+    if method == "hybrid" and provider is None:
+        warnings.warn("no provider, so hybrid aligns by fuzzy search alone", stacklevel=2)
+        method = "fuzzy"
     if method not in ("external", "hybrid"):
         found = align(docs, config.alignment, config.pad_ms)
         spans = found.select("doc_id", "idx", "text", "start_ms", "end_ms", F.when(F.col("start_ms").isNotNull(), "fuzzy").alias("method"))

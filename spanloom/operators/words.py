@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import NEVER_ANCHORS, explode_tokens, normalize, tokens
+from ..functions.text import NEVER_ANCHORS, explode_tokens, nfkc, normalize, tokens
 from .sentences import explode_sentences
 
 
 def explode_words(transcripts: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, pos, text, norm, start, end) of transcripts with an array `words`; each word is normalised once and stays one entry."""
     w = transcripts.select(id_col, F.posexplode("words").alias("pos", "w"))
-    return w.select(id_col, "pos", F.col("w.text").alias("text"), normalize(F.col("w.text")).alias("norm"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
+    return w.select(id_col, "pos", F.col("w.text").alias("text"), normalize(nfkc(F.col("w.text"))).alias("norm"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
 
 
 def token_frequency(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

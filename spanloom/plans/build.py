@@ -22,16 +22,22 @@ class Build:
     reports: DataFrame
     summaries: DataFrame
     review: DataFrame
+    inputs: DataFrame
     sounds: DataFrame | None = None
 
 
 def build(texts: DataFrame, transcripts: DataFrame, config: Config = Config(), provider: external.Provider | None = None, overrides: DataFrame | None = None, recordings: DataFrame | None = None) -> Build:
     """texts (doc_id, text) and transcripts (doc_id, words) meet once, by document; the rest follows by document.
 
-    A document without a single aligned sentence has an empty time line and a report that says so.
+    A document without a single aligned sentence has an empty time line and a report that says so; one without words is
+    such a document. inputs gives each document's status: ok, no words, no sentences, or no text (words alone, which are not built).
     The spans are read by several results, so they are kept; unpersist build.spans and build.details when done.
     """
-    docs = texts.select("doc_id", split_sentences(F.col("text")).alias("sentences")).join(transcripts.select("doc_id", "words"), "doc_id")
+    docs = texts.select("doc_id", split_sentences(F.col("text")).alias("sentences")).join(transcripts.select("doc_id", "words"), "doc_id", "left")
+    has = docs.select("doc_id", (F.size("sentences") > 0).alias("has_text"), (F.coalesce(F.size("words"), F.lit(0)) > 0).alias("has_words"))
+    status = F.when(~F.col("has_text"), "no sentences").when(~F.col("has_words"), "no words").otherwise("ok")
+    alone = transcripts.select("doc_id").join(texts.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit("no text").alias("status"))
+    inputs = has.select("doc_id", status.alias("status")).unionByName(alone)
     spans, details = merge.route(docs, config, provider)
     if overrides is not None:
         spans = schedule.apply_overrides(spans, overrides)
@@ -43,4 +49,4 @@ def build(texts: DataFrame, transcripts: DataFrame, config: Config = Config(), p
     totals = report.counts(spans, details)
     rows = report.manifest_rows(spans, details, blocks, reads, config)
     sounds = audio.render(recordings.select("doc_id", "content"), blocks, config) if recordings is not None else None
-    return Build(spans, details, blocks, reads, report.manifests(rows, blocks, config), report.reports(totals, details), report.summary(totals), compare.review_queue(spans, details), sounds)
+    return Build(spans, details, blocks, reads, report.manifests(rows, blocks, config), report.reports(totals, details), report.summary(totals), compare.review_queue(spans, details), inputs, sounds)

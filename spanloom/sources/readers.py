@@ -47,7 +47,8 @@ def read_words(spark: SparkSession, path: str, strict: bool = True) -> DataFrame
     found = parse_words(rows, "json")
     if strict:
         wrong = F.raise_error(F.concat(F.lit("no usable words in "), F.col("doc_id")))
-        found = found.withColumn("valid", F.when(F.col("valid"), True).otherwise(wrong.cast("boolean")))
+        # in the words themselves too, as a plan that doesn't ask for `valid` doesn't compute it
+        found = found.withColumns({"words": F.when(F.col("valid"), F.col("words")).otherwise(wrong.cast(WORDS)), "valid": F.when(F.col("valid"), True).otherwise(wrong.cast("boolean"))})
     return found
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 from pyspark.sql import DataFrame
@@ -29,7 +30,7 @@ class FixedTranscriber:
 def transcribe(recordings: DataFrame, provider: Transcriber, language: str = "en", at_once: int = 5) -> DataFrame:
     """(doc_id, RESULT) of recordings (doc_id, content, duration_ms), in the form of a word file; status is error where no words came.
 
-    At most at_once tasks call the service at a time.
+    A task calls the service for up to at_once recordings at a time.
     """
     kind = recordings.schema["doc_id"].dataType.simpleString()
     names = ("text", "start", "end", "confidence", "speaker")
@@ -37,14 +38,18 @@ def transcribe(recordings: DataFrame, provider: Transcriber, language: str = "en
     def run(batches):
         import pandas as pd
 
+        def ask(content):
+            try:
+                return [{k: w.get(k) for k in names} for w in provider.transcribe(bytes(content), language)]
+            except Exception:  # whatever a remote service may raise
+                return []
+
         for batch in batches:
             rows = []
-            for doc, content, ms in zip(batch["doc_id"], batch["content"], batch["duration_ms"], strict=True):
-                try:
-                    words = [{k: w.get(k) for k in names} for w in provider.transcribe(bytes(content), language)]
-                except Exception:  # whatever a remote service may raise
-                    words = []
+            with ThreadPoolExecutor(at_once) as pool:
+                found = list(pool.map(ask, batch["content"]))
+            for doc, words, ms in zip(batch["doc_id"], found, batch["duration_ms"], strict=True):
                 rows.append((doc, str(doc), language, " ".join(w["text"] for w in words), "completed" if words else "error", ms / 1000.0, words))
             yield pd.DataFrame(rows, columns=["doc_id", "audio_id", "language_code", "text", "status", "audio_duration", "words"])
 
-    return recordings.select("doc_id", "content", "duration_ms").repartition(at_once).mapInPandas(run, f"doc_id {kind}, {RESULT}")
+    return recordings.select("doc_id", "content", "duration_ms").mapInPandas(run, f"doc_id {kind}, {RESULT}")

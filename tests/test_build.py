@@ -100,9 +100,26 @@ def test_build(spark, tmp_path, method):
     assert made.review.count() == 3 and made.summaries.count() == 2
 
 
-def test_missing_provider_is_an_error(spark):
+def test_missing_provider(spark):
     with pytest.raises(ValueError, match="provider"):
-        build(*frames(spark), config.load())
+        build(*frames(spark), config.load(alignment={"method": "external"}))
+    with pytest.warns(UserWarning, match="fuzzy search alone"):
+        made = build(*frames(spark), config.load(alignment={"min_accept": 0.82, "warn_accept": 0.3}))
+    assert {r.method for r in made.spans.collect()} == {"fuzzy", None}
+
+
+def test_documents_without_words_are_reported(spark):
+    texts, transcripts = frames(spark)
+    more = transcripts.where("doc_id <> 'b'").unionByName(spark.createDataFrame([("d", words_of("alone"))], transcripts.schema))
+    made = build(texts, more, config.load(alignment={"method": "fuzzy"}))
+    assert rows(made.inputs) == [("a", "ok"), ("b", "no words"), ("c", "no sentences"), ("d", "no text")]
+    counted = {r.doc_id: (r.n, r.a) for r in made.reports.select("doc_id", F.col("report.global.num_sentences").alias("n"), F.col("report.global.aligned").alias("a")).collect()}
+    assert counted["b"] == (1, 0) and "d" not in counted
+
+
+def test_words_in_compatibility_form(spark):
+    df = spark.createDataFrame([(1, [("ﬁve", 0, 1), ("½", 1, 2), ("Ⅳ", 2, 3)])], "doc_id long, words array<struct<text:string,start:bigint,end:bigint>>")
+    assert [r.norm for r in words.explode_words(df).orderBy("pos").collect()] == ["five", "1 2", "iv"]
 
 
 def test_sources(spark, tmp_path):
@@ -121,6 +138,8 @@ def test_sources(spark, tmp_path):
     assert [r.doc_id for r in bad.orderBy("doc_id").collect()] == ["e", "m", "z"]
     with pytest.raises(Exception, match="no usable words"):
         readers.read_words(spark, str(tmp_path / "w")).collect()
+    with pytest.raises(Exception, match="no usable words"):  # in a plan that never looks at `valid`
+        readers.read_words(spark, str(tmp_path / "w")).select("doc_id", F.size("words")).collect()
     (tmp_path / "r").mkdir()
     (tmp_path / "r/n.wav").write_bytes(audio.wav_bytes([audio.silence(1234, 8000)], 8000))
     (tmp_path / "r/o.wav").write_bytes(b"none")

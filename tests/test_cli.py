@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -15,13 +16,23 @@ def test_files_to_files(spark, tmp_path):
     words = [{"text": w, "start": i * 300, "end": i * 300 + 250} for i, w in enumerate("remarkable water flows downhill".split())]
     (tmp_path / "w/a.json").write_text(json.dumps({"audio_id": "a", "words": words}))
     (tmp_path / "r/a.wav").write_bytes(wav_bytes([silence(2000, 8000)], 8000))
-    (tmp_path / "c.yaml").write_text("pause_ms: 100\ninter_sentence_pause_ms: 100\nalignment: {min_accept: 0.82, warn_accept: 0.75}\n")
+    (tmp_path / "c.yaml").write_text("pause_ms: 100\ninter_sentence_pause_ms: 100\nalignment: {method: fuzzy, min_accept: 0.82, warn_accept: 0.75}\n")
     run(spark, parse([str(tmp_path / "t"), str(tmp_path / "w"), str(tmp_path / "out"), "--recordings", str(tmp_path / "r"), "-c", str(tmp_path / "c.yaml"), "--tempo", "1.0"]))
     assert rows(readers.aligned_in_manifests(spark, str(tmp_path / "out/manifests"))) == [("a", 1, 1)]
     assert spark.read.text(str(tmp_path / "out/summaries")).first()[0] == "aligned 1 of 1 (100.0%), failed 0, warnings 0"
     assert spark.read.parquet(str(tmp_path / "out/sounds")).count() == 1
 
 
+def test_the_configured_method_counts(spark, tmp_path):
+    for name in ("t", "w"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "c.yaml").write_text("alignment: {method: external}\n")
+    (tmp_path / "t/a.txt").write_text("One.")
+    (tmp_path / "w/a.json").write_text('{"words": [{"text": "one", "start": 0, "end": 5}]}')
+    with pytest.raises(ValueError, match="provider"):
+        run(spark, parse([str(tmp_path / "t"), str(tmp_path / "w"), str(tmp_path / "out"), "-c", str(tmp_path / "c.yaml")]))
+
+
 class Silent:
     def transcribe(self, content, language):
         raise ConnectionError

@@ -127,6 +127,54 @@ def test_token_counts(spark, bpe, rule):
         assert got[i] == {k: (start[k], start[k + 1], counts[k], crossing[k]) for k in range(len(lines))}
 
 
+def test_token_counts_of_given_sections(spark, bpe):
+    path, pattern, library = bpe
+    texts = [*ODD, "title\nbody 日本 text, end"]
+    rows = [(i, n, a, b) for i, t in enumerate(texts) for n, (a, b) in (("head", (0, 3)), ("empty", (3, 3)), ("rest", (5, None)))]
+    rows += [(None, "head", 0, 3), (999, "head", 0, 3)]
+    sections = spark.createDataFrame(rows, "doc_id long, section string, start long, end long").withColumn("_text", F.lit("clash"))
+    df = documents(spark, texts)
+    for rule in token_counts.RULES:
+        got = {(r.doc_id, r.section): (r.start, r.end, r.n_tokens, r.n_crossing) for r in token_counts.token_counts(df, path, pattern, rule, sections=sections).collect()}
+        assert len(got) == 3 * len(texts)
+        for i, text in enumerate(t or "" for t in texts):
+            bounds = {"head": (0, min(3, len(text))), "empty": (min(3, len(text)),) * 2, "rest": (min(5, len(text)), len(text))}
+            owner = [next((n for n, (a, b) in bounds.items() if a <= k < b), None) for k, c in enumerate(text) for _ in c.encode()]
+            counts, at = {n: [0, 0] for n in bounds}, 0
+            for token in library.encode_ordinary(text):
+                own = owner[at : at + len(library.decode_single_token_bytes(token))]
+                at += len(own)
+                place = {"first": own[0], "last": own[-1], "largest": max(dict.fromkeys(own), key=own.count)}[rule]
+                if place is not None:
+                    counts[place][0] += 1
+                    counts[place][1] += len(set(own)) > 1
+            assert {n: got[i, n] for n in bounds} == {n: (*bounds[n], *counts[n]) for n in bounds}
+    assert token_counts.token_counts(df.limit(0), path, pattern, sections=sections).count() == 0 == token_counts.token_counts(df, path, pattern, sections=sections.limit(0)).count()
+    over = spark.createDataFrame([(8, 1, 0, 2), (8, 2, 1, 3)], "doc_id long, section int, start long, end long")
+    with pytest.raises(Exception, match="overlap"):
+        token_counts.token_counts(df, path, pattern, sections=over).collect()
+
+
+def test_token_counts_odd_tables(spark, bpe):
+    path, pattern, _ = bpe
+    df = documents(spark, ["a b", "a b"]).withColumns({"section": F.lit("clash"), "n_tokens": F.lit("clash")})
+    assert [(r.section, r.n_tokens) for r in token_counts.token_counts(df, path, pattern).collect()] == [(0, 2), (0, 2)]
+    assert token_counts.token_counts(df.limit(0), path, pattern).count() == 0
+
+
+def test_other_patterns_and_long_parts(bpe, monkeypatch):
+    path, _, library = bpe
+    pattern = r"[^\s\p{L}\p{N}]+[\r\n]*|\s?\p{L}+|\p{N}|\s+"
+    words = byte_bpe.vocabulary(path, pattern)
+    encoder, texts = byte_bpe.Encoder(words), ["stop!\nand go", "a\nb c", "x" * 3000, "x" * 3000 + " y"]
+    assert not encoder.parted
+    wanted = [[i for piece in words.find(t) for i in words.encode(piece)] for t in texts]
+    assert list(encoder.encode(texts)) == wanted
+    monkeypatch.setattr(byte_bpe, "REMEMBERED_CHARACTERS", 100)
+    small = byte_bpe.Encoder(words)
+    assert [ids for t in texts * 2 for ids in small.encode([t])] == wanted * 2 and len(small.parts) < 4
+
+
 # ---- personal data
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -17,6 +18,8 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 HOT_SHARE = 1000
 #: Rows of a list (100 bytes each or so) that is sent to all executors, so that what it meets needn't travel.
 FEW_ROWS = 200_000
+#: Rows of an Arrow batch, where the session has the usual 10000.
+ROWS_A_BATCH = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -84,6 +87,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return joined.select(*rows.columns, *(found[c].alias(c) for c in values))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows of text at once in Python workers and in the buffers before them; a number that the user has set stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(ROWS_A_BATCH))
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, make) -> DataFrame:
     """mapInArrow over columns: make() gives, once a task, a function from a tuple of column lists to output column lists."""
     import pyarrow as pa
@@ -96,8 +106,13 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make) -> DataFrame:
 
     def run(batches):
         work = make()
-        for batch in batches:
-            out = work(*(batch.column(i).to_pylist() for i in range(batch.num_columns)))
-            yield pa.RecordBatch.from_arrays([pa.array(values, type=field.type) for values, field in zip(out, target, strict=True)], schema=target)
-
+        gc.disable()  # memories of many parts, without cycles, would be searched for cycles over and over
+        try:
+            for batch in batches:
+                out = work(*(batch.column(i).to_pylist() for i in range(batch.num_columns)))
+                yield pa.RecordBatch.from_arrays([pa.array(values, type=field.type) for values, field in zip(out, target, strict=True)], schema=target)
+        finally:
+            gc.enable()
+
+    small_batches(spark)
     return df.select(*columns).mapInArrow(run, schema)

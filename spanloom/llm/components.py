@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, staged
+from .common import drop_staged, join_groups, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,14 +24,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, limit: int = 100) -> DataFrame:
-    """(node, component): the least node that each node of edges (a, b) is tied to; nodes without edges are left out."""
+    """(node, component): the least node that each node of edges (a, b) is tied to; nodes without edges are left out, as are edges with a null end."""
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = staged(edges, "cc-edges")
     for _ in range(limit):
-        new = staged(_star(staged(_star(edges, large=True), "cc-large"), large=False), "cc-small")
+        large = staged(_star(edges, large=True), "cc-large")
+        new = staged(_star(large, large=False), "cc-small")
+        drop_staged(large)
         # done when every node is tied to one node that is tied to none itself: the step then returns its input
         if new.count() == edges.count() and new.exceptAll(edges).isEmpty():
             least = new.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
             return new.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(least)
+        drop_staged(edges)
         edges = new
     raise RuntimeError("components did not settle")

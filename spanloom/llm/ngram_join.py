@@ -34,8 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .byte_bpe import REMEMBERED
-from .common import join_groups, staged
+from .common import drop_staged, join_groups, small_batches, staged
 from .components import components
 
 WIDTH = 5
@@ -56,6 +55,8 @@ STAR_ITEMS, STAR_GAIN = 4, 200
 FEW_ITEMS = 200_000
 
 
+#: Words whose hashes a task remembers.
+REMEMBERED = 200_000
 #: Characters of texts whose words are hashed in one go.
 AT_ONCE = 1_000_000
 
@@ -222,14 +223,17 @@ def describe(docs: DataFrame, id_col: str, text: str, width: int) -> tuple[DataF
     else:
         raise RuntimeError("different sets have one name under every seed")
 
-    def summed(pdf):
-        import pandas as pd
+    def summed(table):
+        import pyarrow as pa
 
-        total = sum(np.frombuffer(x, dtype=np.uint32).astype(np.uint64) for x in pdf["counts"])
-        return pd.DataFrame({"block": pdf["block"][:1], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
+        total = np.zeros((1 << SKETCH_BITS) // BLOCKS, dtype=np.uint64)
+        for x in table.column("counts"):
+            total += np.frombuffer(x.as_buffer(), dtype=np.uint32)
+        data = np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()
+        return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([data], pa.binary())})
 
     blocks = made.where("block is not null").select("block", "counts", F.pmod(F.xxhash64("counts"), F.lit(16)).alias("deal"))
-    blocks = blocks.groupBy("block", "deal").applyInPandas(summed, "block int, counts binary").groupBy("block").applyInPandas(summed, "block int, counts binary")
+    blocks = blocks.groupBy("block", "deal").applyInArrow(summed, "block int, counts binary").groupBy("block").applyInArrow(summed, "block int, counts binary")
     counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32).reshape(BLOCKS, -1)
     for block, data in blocks.collect():  # BLOCKS rows of a fixed size
         counts[block] = np.frombuffer(data, dtype=np.uint32)
@@ -386,7 +390,9 @@ def relabelled(rows: DataFrame, tied: DataFrame) -> DataFrame:
     rows = join_groups(rows, names, ["label"], "n_rows", rows.count(), F.struct("entry", "item"))
     rows = staged(rows.select("entry", "item", "size", F.coalesce("component", "label").alias("label")), "ngram-labelled")
     several = rows.groupBy("entry").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("held")).where("lo <> hi").select("entry", "held")
-    return staged(rows.join(several, "entry"), "ngram-open")
+    out = staged(rows.join(several, "entry"), "ngram-open")
+    drop_staged(rows)
+    return out
 
 
 def n_of(size: str | Column) -> Column:
@@ -422,6 +428,7 @@ def close_enough(a: str, b: str):
 
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """Per document: id, n_shingles and component_id, the least id reachable over links."""
+    small_batches(docs.sparkSession)
     sets, classes, seed = describe(docs, id_col, text, width)
     items = staged(sets.where("n > 0").groupBy("item").agg(F.min("id").alias("rep"), F.min(F.struct("id", "sub")).alias("at"), F.max("n").alias("n"), F.count("*").alias("n_docs"), F.first("bits").alias("bits")), "ngram-items")
     multi = staged(shared_entries(index_rows(docs, classes, seed, id_col, text, width)), "ngram-entries")
@@ -449,7 +456,8 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str
     turn = 0
     while True:
         found = check(pairs)
-        rows = relabelled(rows, components(found.select(F.col("la").alias("a"), F.col("lb").alias("b"))))
+        before, rows = rows, relabelled(rows, components(found.select(F.col("la").alias("a"), F.col("lb").alias("b"))))
+        drop_staged(before)
         hot = rows.where(F.col("held") > STAR_ITEMS)
         n_hot = hot.select("item").distinct().count()
         if not n_hot or (turn and found.count() * STAR_GAIN < n_hot):

@@ -19,9 +19,10 @@ import hashlib
 import re
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_rows
+from .common import map_rows, small_batches
 
 #: Order of the kinds in results.
 KINDS = ("email", "ip", "card", "phone")
@@ -251,8 +252,9 @@ def mask_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with masked texts (null stays null); the other columns are as before."""
     from pyspark.sql import functions as F
 
-    @F.pandas_udf("string")
-    def masked(texts):
-        return texts.map(mask, na_action="ignore")
+    @F.arrow_udf("string")
+    def masked(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else mask(t) for t in texts.to_pylist()], pa.string())
 
+    small_batches(docs.sparkSession)
     return docs.withColumn(text, masked(F.col(text)))

@@ -26,8 +26,8 @@ from .common import map_rows, staged
 CAPACITY = 4096
 #: Parts that the pieces of one length are numbered in.
 DEALS = 128
-#: Chunks, and words, that a task remembers.
-REMEMBERED = 500_000
+#: Chunks, and words, that a worker remembers, and their characters.
+REMEMBERED, REMEMBERED_CHARACTERS = 1_000_000, 50_000_000
 #: Chunks of texts that are encoded together.
 AT_ONCE = 300_000
 
@@ -110,6 +110,7 @@ class ChunkMemory(dict):
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer, self.words, self.cut = tokenizer, {}, regex.compile(WORDS).findall
+        self.held = self.held_words = 0
         names = tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(names.values()) + 1, dtype=bool)
         self.last[[i for name, i in names.items() if name.endswith("</w>")]] = True
@@ -134,21 +135,29 @@ class ChunkMemory(dict):
 
     def fill(self, chunks: set[bytes]) -> None:
         new = chunks.difference(self)
-        if len(self) + len(new) > REMEMBERED:
+        self.held += sum(map(len, new))
+        if len(self) + len(new) > REMEMBERED or self.held > REMEMBERED_CHARACTERS:
             self.clear()
-            new = chunks
+            new, self.held = chunks, sum(map(len, chunks))
         cut, whole = {}, {}
         for chunk in new:
             text = chunk.decode()
             if text.isascii() or max(text) < "\u0100":
-                cut[chunk] = self.cut(text.lower())
+                text = text.lower()
+                if text.isalpha():  # as most are: a word, or one with a mark behind
+                    cut[chunk] = (text,)
+                elif text[-1] in ".,;:!?" and text[:-1].isalpha():
+                    cut[chunk] = (text[:-1], text[-1])
+                else:
+                    cut[chunk] = self.cut(text)
             else:
                 whole[text] = chunk
         words = set(chain.from_iterable(cut.values()))
         unknown = words.difference(self.words)
-        if len(self.words) + len(unknown) > REMEMBERED:
+        self.held_words += sum(map(len, unknown))
+        if len(self.words) + len(unknown) > REMEMBERED or self.held_words > REMEMBERED_CHARACTERS:
             self.words.clear()
-            unknown = words
+            unknown, self.held_words = words, sum(map(len, words))
         self.words.update(self._encode_words(list(unknown)))
         for chunk, found in cut.items():
             self[chunk] = self.words[found[0]] if len(found) == 1 else b"".join(map(self.words.__getitem__, found))
@@ -168,11 +177,17 @@ def _tokenizer(path: str):
     return found
 
 
+@lru_cache(maxsize=1)
+def _memory(path: str) -> ChunkMemory:
+    """One memory for all tasks that a worker runs."""
+    return ChunkMemory(_tokenizer(path))
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, closing: int = 1, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per piece of at most capacity ids: id, piece, start, length, ids_crc32. Only longer documents are cut."""
 
     def make():
-        memory = ChunkMemory(_tokenizer(path))
+        memory = _memory(path)
         end = np.array([closing], dtype="<u4").tobytes()
 
         def in_groups(texts):

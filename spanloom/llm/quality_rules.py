@@ -1,6 +1,7 @@
 """Quality rules: a threshold table compiled into one Spark projection, evaluated without user functions.
 
-Defined results: a null or empty text has no words and fails the length rule; repeated rows are judged
+Defined results: a null or empty text has no words and fails the length rule; a very long text is judged whole and, over
+1,000,000 words, fails the rule for most words; an empty table gives no rows; repeated rows are judged
 each for itself; extra columns are carried along, and columns named like a metric are replaced.
 Words are the runs of characters that are not in [\\x20\\x09-\\x0D]; lines are the parts between \\n.
 """

@@ -206,9 +206,9 @@ def write_warc(pages: DataFrame, root: str, id_col: str = "page_id", url: str =
         marks.select("id", "place", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to")
     )
     places = pages.sparkSession.createDataFrame(shards, "b long, shard int")
-    dealt = events.withColumn("b", bucket).join(F.broadcast(places), "b").select("shard", "id", "kind", "url", "html", "digest", "refers_to")
+    dealt = events.withColumn("b", bucket).join(F.broadcast(places), "b").select(F.col("shard").cast("int").alias("shard"), "id", "kind", "url", "html", "digest", "refers_to")
     order = ("shard", "id", "kind", "url", F.xxhash64("html"))
-    dealt = dealt.repartitionByRange(count, "shard").sortWithinPartitions(*order)
+    dealt = dealt.repartitionById(count, "shard").sortWithinPartitions(*order)  # shards are ranges: no sampling of the rows is needed
     made = dealt.mapInArrow(_writer(root, roll), MANIFEST)
     made.write.mode("overwrite").json(f"{root}/manifest")  # the commit
     return read_manifest(pages.sparkSession, root)

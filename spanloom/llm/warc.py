@@ -39,6 +39,8 @@ CUTS, NULL_CLASSES = 20_000, 1024
 USUAL_SHARDS = 256
 LEAST_SHARD, MOST_SHARD = 1 << 16, 1 << 28
 ROLL_BYTES = 1 << 26
+#: Compressed bytes that one task reads, at most a few of them at a time in memory.
+READ_BYTES = 1 << 25
 WHEN = "2024-01-01T00:00:00Z"
 MANIFEST = "path string, shard int, seq int, n_records long, n_bytes long, sha256 string"
 
@@ -281,8 +283,10 @@ def read_warc(spark: SparkSession, root: str, with_payload: bool = True, kind: s
                 if rows:
                     yield batch_of(rows)
 
-    files = read_manifest(spark, root).select("path", "shard")
-    return files.repartitionByRange(max(1, min(files.count(), 10_000)), "path").select("path").mapInArrow(run, schema)
+    files = read_manifest(spark, root).select("path")
+    n_files, n_bytes = read_manifest(spark, root).agg(F.count("*"), F.sum("n_bytes")).first()
+    tasks = min(n_files, max(2 * spark.sparkContext.defaultParallelism, (n_bytes or 0) // READ_BYTES))  # small files share a task
+    return files.repartition(max(1, tasks), "path").select("path").mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url: str = "url", payload: str = "html", min_payload: int = 0) -> DataFrame:

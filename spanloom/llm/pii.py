@@ -10,7 +10,8 @@ Not caught: a plain "at" before a host with written dots only (name at host.com)
 domain isn't in TOP_LEVEL (john at firma dot pl). Brackets around "at" or a dot lift both limits.
 
 Defined results: a null or empty text has no spans; spans are code points with an exclusive end; repeated rows
-are searched each for itself; equal or overlapping added spans keep the first by kind and start.
+are searched each for itself; an empty table gives no rows; a very long text is searched whole, in linear time; columns
+named like a result are left out, and masking leaves all others as they are; equal or overlapping added spans keep the first by kind and start.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ rows are read as streams. A rank with more than `large` open anchors is dealt by
 
 Defined results: a null text is empty; texts of fewer than `length` bytes keep all; rows that repeat id and text are one
 document and get the same result; of different texts under one id that with the smaller hash counts as
-earlier; a null id is the earliest. Spans' ranks count as equal if 128 bits agree.
+earlier; a null id is the earliest; ids are integers, others an error; an empty table gives no rows; columns beside id and text
+are left out. Spans' ranks count as equal if 128 bits agree.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import join_groups, staged
 
@@ -362,6 +364,8 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     """Per document: id, n_bytes, n_removed, n_spans and kept_sha256."""
     if length < 2 * RANK or length > 1000:
         raise ValueError(f"length must be from {2 * RANK} to 1000")
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be an integer")
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
     repeats = not docs.groupBy(id_col).count().where("count > 1").isEmpty()
     texts = docs.select(key.alias("doc"), (F.xxhash64(text) if repeats else F.lit(0).cast("long")).alias("sub"), F.col(text).alias("text"))

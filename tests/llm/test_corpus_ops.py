@@ -68,6 +68,8 @@ def test_suffix_dedup_odd_ids(spark):
     # within itself the text repeats from its eleventh byte on
     assert len(got) == 5 and [g[2] for g in got] == [150, 150, 150, 150, 5] and not got[-1][3]
     assert suffix_dedup.suffix_dedup(df.limit(0)).count() == 0
+    with pytest.raises(TypeError, match="integer"):
+        suffix_dedup.suffix_dedup(df.withColumn("doc_id", F.lit("x")))
 
 
 # ---- exact dedup

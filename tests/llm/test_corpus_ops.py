@@ -261,7 +261,7 @@ def plain_verdict(url, rules):
 
 
 def test_url_filter(spark, monkeypatch):
-    monkeypatch.setattr(url_filters, "ROWS_PER_SWEEP", 7)
+    monkeypatch.setattr(url_filters, "ROWS_PER_SWEEP", 40)
     rng = random.Random(12)
     hosts = ["example.org", "EXAMPLE.org", "b.example.org", "a.b.example.org", "myexample.org", "org", "x.com", "com", "xcom", "", "é.org", "example.org:80", "u@example.org", "example.org."]
     paths = ["", "/", "/es/", "/es", "/es/x", "/es/xy", "/en/1", "/en/12", "/en/2", "/de/", "/de", "/es?/x", "#/es/", "/日", "/es/\U0010ffff"]
@@ -274,6 +274,23 @@ def test_url_filter(spark, monkeypatch):
     assert url_filters.url_filter(df.limit(0), url_filters.rule_table(spark, RULES)).count() == 0
 
 
+def test_url_filter_nested_rules_over_many_ranges(spark, monkeypatch):
+    """Deeply nested rules, one URL in a third of all rows, a very long URL, rows without an id, columns that clash."""
+    monkeypatch.setattr(url_filters, "ROWS_PER_SWEEP", 60)
+    monkeypatch.setattr(url_filters, "STARTS_PER_FOLD", 3)
+    rng = random.Random(5)
+    hosts = ["a", "b.a", "c.b.a", "ab.a", "a.a"]
+    rules = sorted({(rng.choice(hosts), "/" + "".join(rng.choice("xy/") for _ in range(rng.randrange(6)))) for _ in range(40)})
+    rules = [(h, p, rng.choice(["allow", "block"])) for h, p in rules] + [("a", "nowhere", "block"), ("a/x", "", "block"), ("", "/", "block")]
+    urls = [f"s://{rng.choice(hosts)}/{''.join(rng.choice('xy/') for _ in range(rng.randrange(8)))}" for _ in range(150)]
+    urls += ["s://c.b.a/xy/x"] * 80 + ["s://b.a/" + "xy/" * 100_000]
+    rows = [(None if i % 11 == 0 else i, u, "h", "k", "r", "s") for i, u in enumerate(urls)]
+    df = spark.createDataFrame(rows, "page_id long, url string, path string, key string, rule string, stack string")
+    table = url_filters.rule_table(spark, [*rules, (None, "/", "block"), ("a", "/", None)])
+    got = sorted((tuple(r) for r in url_filters.url_filter(df, table).collect()), key=repr)
+    assert got == sorted(((r[0], *plain_verdict(r[1], rules)) for r in rows), key=repr)
+
+
 # ---- WARC
 
 

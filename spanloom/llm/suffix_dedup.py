@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_groups, staged
+from .common import join_groups, small_batches, staged
 
 #: Bytes under an anchor's rank; a power of two.
 RANK = 32
 #: Open anchors of one rank that one task compares.
 LARGE = 20_000
 #: Bytes that are ranked together; longer documents are ranked in parts whose windows follow on.
-AT_ONCE = 1_500_000
+AT_ONCE = 500_000
 
 _random = np.random.default_rng(100)
 _BYTES = _random.integers(0, 2**64, 256, dtype=np.uint64)
@@ -366,6 +366,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
         raise ValueError(f"length must be from {2 * RANK} to 1000")
     if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
         raise TypeError(f"{id_col} must be an integer")
+    small_batches(docs.sparkSession)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
     repeats = not docs.groupBy(id_col).count().where("count > 1").isEmpty()
     texts = docs.select(key.alias("doc"), (F.xxhash64(text) if repeats else F.lit(0).cast("long")).alias("sub"), F.col(text).alias("text"))

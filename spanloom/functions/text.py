@@ -16,6 +16,9 @@ from pyspark.sql import types as T
 #: Letters, digits and the underscore of any script.
 WORD = r"[\p{L}\p{N}_]"
 
+#: A hyphen or en dash between two words' letters. It starts with the mark itself, so only marks are looked at.
+_INNER_HYPHEN = rf"[-–](?<={WORD}[-–])(?={WORD})"
+
 #: Units and their full forms.
 UNITS = {
     "km": "kilometers", "kilometer": "kilometers", "kilometres": "kilometers", "kilometre": "kilometers",
@@ -58,8 +61,7 @@ def nfkc(text: Column) -> Column:
 def normalize(text: Column) -> Column:
     """Lower-cased words with inner apostrophes, one blank between them. text is in compatibility normal form (see nfkc)."""
     x = F.lower(F.coalesce(text, F.lit("")))
-    x = F.replace(F.replace(x, F.lit("—"), F.lit(" ")), F.lit("–"), F.lit("-"))
-    x = F.regexp_replace(x, f"(?<={WORD})-(?={WORD})", "")
+    x = F.regexp_replace(x, _INNER_HYPHEN, "")
     x = F.regexp_replace(x, r"[^\p{L}\p{N}_'\s]", " ")
     x = F.regexp_replace(x, r"\s'\s", " ")
     x = F.regexp_replace(x, r"^'\s", "")
@@ -68,8 +70,12 @@ def normalize(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """The words of normalize(text), from their first letter or digit on."""
-    return F.regexp_extract_all(normalize(text), F.lit(f"{WORD}[\\p{{L}}\\p{{N}}_']*"), F.lit(0))
+    """The words of normalize(text), from their first letter or digit on.
+
+    Of the normal form only lower case and joined hyphens can change a word: all else it touches stands between words.
+    """
+    x = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _INNER_HYPHEN, "")
+    return F.regexp_extract_all(x, F.lit(f"{WORD}[\\p{{L}}\\p{{N}}_']*"), F.lit(0))
 
 
 def normalize_unit(token: Column) -> Column:

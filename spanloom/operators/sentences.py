@@ -14,6 +14,10 @@ ABBREVIATIONS = (
 ).split()
 
 _GUARD = "|".join(a.replace(".", r"\.") for a in sorted(ABBREVIATIONS, key=len, reverse=True))
+#: An end mark and the white space behind it, unless the mark is an abbreviation's dot; looks back from marks only.
+_END = rf"([.!?])(?<!(?<![\p{{L}}\p{{N}}_])(?i:{_GUARD})\.)\s+"
+#: White space that isn't a single blank.
+_SPACES = r"\s\s+|[\t\n\x0B\f\r]"
 
 
 def split_sentences(text: Column, quotes: bool = False) -> Column:
@@ -26,11 +30,9 @@ def split_sentences(text: Column, quotes: bool = False) -> Column:
     if not quotes:
         x = strip_quotes(x)
     x = F.replace(x, F.lit("..."), F.lit(" <ELLIPSIS> "))
-    x = F.regexp_replace(x, r"([.!?])\s+", "$1\x01")
-    for _ in range(2):  # neighbours share the character between them, so every second one is left to the second turn
-        x = F.regexp_replace(x, rf"(?i)(^|[^\p{{L}}\p{{N}}_])({_GUARD})\.\x01", "$1$2. ")
-    cleaned = F.transform(F.split(x, "\x01"), lambda s: F.trim(F.regexp_replace(F.replace(s, F.lit("<ELLIPSIS>"), F.lit("...")), r"\s+", " ")))
-    return F.transform(F.filter(cleaned, lambda s: s != ""), lambda s: F.when(s.rlike(r"[.!?]$"), s).otherwise(F.concat(s, F.lit("."))))
+    x = F.regexp_replace(x, _END, "$1\x01")
+    cleaned = F.transform(F.split(x, "\x01"), lambda s: F.trim(F.replace(F.regexp_replace(s, _SPACES, " "), F.lit("<ELLIPSIS>"), F.lit("..."))))
+    return F.transform(F.filter(cleaned, lambda s: s != ""), lambda s: F.when(F.substring(s, -1, 1).isin(".", "!", "?"), s).otherwise(F.concat(s, F.lit("."))))
 
 
 def explode_sentences(docs: DataFrame, id_col: str = "doc_id", text: str = "text", quotes: bool = False) -> DataFrame:

@@ -48,12 +48,12 @@ def ngrams(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, pos, bigram, two, three): each token with its followers, apart and run together; null at the end."""
     order = Window.partitionBy(id_col).orderBy("pos")
     after, second = F.lead("token", 1).over(order), F.lead("token", 2).over(order)
-    return explode_tokens(docs, id_col, text).select(id_col, "pos", F.concat("token", F.lit(" "), after).alias("bigram"), F.concat("token", after).alias("two"), F.concat("token", after, second).alias("three"))
+    return explode_tokens(docs.select(id_col, text).repartition(id_col), id_col, text).select(id_col, "pos", F.concat("token", F.lit(" "), after).alias("bigram"), F.concat("token", after).alias("two"), F.concat("token", after, second).alias("three"))
 
 
 def derived_words(docs: DataFrame, id_col: str = "doc_id", text: str = "text", per_letter: int = 60, gap: int = 40) -> DataFrame:
-    """(id, pos, word, start_ms, end_ms): a time line from the text alone, for texts without a recording."""
-    rows = explode_tokens(docs, id_col, text).withColumn("took", (F.length("token") * per_letter + gap).cast("long"))
+    """(id, pos, word, start_ms, end_ms): a time line from the text alone, for texts without a recording. Texts are shuffled, not their words."""
+    rows = explode_tokens(docs.select(id_col, text).repartition(id_col), id_col, text).withColumn("took", (F.length("token") * per_letter + gap).cast("long"))
     end = F.sum("took").over(Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     return rows.select(id_col, "pos", F.col("token").alias("word"), (end - F.col("took")).alias("start_ms"), end.alias("end_ms"))
 

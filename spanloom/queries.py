@@ -39,7 +39,8 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def derived_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, idx, text, start_ms, end_ms, status, score, note, method): sentences one after the other, every seventh not aligned, every fifth a warning."""
-    rows = sentences.explode_sentences(docs).withColumn("tokens", text_functions.tokens(F.col("sentence")))
+    # by document before the texts are taken apart, so the window needs no shuffle of sentences
+    rows = sentences.explode_sentences(docs.select("doc_id", "text").repartition("doc_id")).withColumn("tokens", text_functions.tokens(F.col("sentence")))
     took = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a + F.length(t) * 60 + 40)
     rows = rows.select("doc_id", "idx", F.col("sentence").alias("text"), took.alias("took"))
     end = F.sum("took").over(Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))

@@ -20,6 +20,8 @@ NORMAL = [
     ("snake_case", "snake_case", ["snake_case"]),
     ("''", "''", []),
     ("...", "", []),
+    ("a--b c-–d e–f", "a b c d ef", ["a", "b", "c", "d", "ef"]),
+    ("rock 'n' roll' - 'x", "rock 'n' roll' 'x", ["rock", "n'", "roll'", "x"]),
     (None, "", []),
     ("", "", []),
 ]
@@ -71,13 +73,15 @@ def test_sentences(spark):
         "Mr. Smith met Dr. Jones. They spoke!": ["Mr. Smith met Dr. Jones.", "They spoke!"],
         "Wait... what? Yes": ["Wait ... what?", "Yes."],
         "Mr. mrs. dr. X. Y": ["Mr. mrs. dr. X.", "Y."],
+        "E.g.  this, i.e. U.S. law. Form. Firm!  So,\tetc.? Yes": ["E.g. this, i.e. U.S. law.", "Form.", "Firm!", "So, etc.?", "Yes."],
         "  ": [],
         "": [],
         "It’s 3.5 m. Good": ["It’s 3.5 m.", "Good."],
     }
     df = spark.createDataFrame([(x,) for x in cases], "x string")
     assert [r[0] for r in df.select(split_sentences(F.col("x"))).collect()] == list(cases.values())
-    assert split_at_marks("One. two. Three.") == ["One. two.", "Three."] or split_at_marks("One. Two.") == ["One.", "Two."]
+    assert split_at_marks("One. two. Three.") == ["One.", "two.", "Three."]
+    assert split_at_marks("Dr. Who is 3.x now!Yes") == ["Dr. Who is 3.x now!", "Yes"]
 
 
 def test_times(spark):

@@ -27,21 +27,44 @@ def token_idf(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
     return n.select(id_col, "token", (F.lit(1.0) / (F.lit(1.0) + F.col("n") / total)).alias("idf"))
 
 
+def sentence_tokens(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, idx, tokens, n, start): each sentence's tokens, how many they are, and how many of its text stand before them.
+
+    Texts are shuffled once, by id; all that follows by id stays in place.
+    """
+    sentences = explode_sentences(docs.select(id_col, text).repartition(id_col), id_col, text)
+    rows = sentences.select(id_col, "idx", tokens(F.col("sentence")).alias("tokens")).withColumn("n", F.size("tokens"))
+    before = F.sum("n").over(Window.partitionBy(id_col).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    return rows.withColumn("start", before.cast("int"))
+
+
+def _may_anchor(token: str):
+    return ~F.lower(token).isin(NEVER_ANCHORS) & (F.col(token).rlike(r"^\p{Nd}") | (F.length(token) >= 5))
+
+
+def _groups(*columns: str):
+    """A window over groups of equal columns, led by a hash of them: the sort compares it in place and the columns only where it is equal."""
+    return Window.partitionBy(F.xxhash64(*columns), *columns)
+
+
+def _anchors(sentences: DataFrame, id_col: str, most: int) -> DataFrame:
+    """anchors() of sentence_tokens(), with their other columns."""
+    # outer, as the filter that is inferred for a plain one would take sentences apart a second time
+    rows = sentences.select(*(c for c in sentences.columns if c != "tokens"), F.posexplode_outer("tokens").alias("pos", "token")).where("token is not null")
+    share = F.count("*").over(_groups(id_col, "token")) / F.count("*").over(Window.partitionBy(id_col))
+    idf = F.lit(1.0) / (F.lit(1.0) + share)
+    scored = rows.withColumn("score", F.when(F.col("token").rlike(r"^\p{Nd}"), idf + 1.0).otherwise(idf))
+    best = _groups(id_col, "idx").orderBy(F.desc("score"), F.desc("pos"), F.desc("token"))
+    return scored.where(_may_anchor("token")).withColumn("place", F.row_number().over(best)).where(F.col("place") <= most).drop("place")
+
+
 def anchors(docs: DataFrame, id_col: str = "doc_id", text: str = "text", most: int = 3) -> DataFrame:
     """(id, idx, pos, token, score): up to three telling tokens of each sentence.
 
     Numbers and tokens of five letters or more that are not stop words, by score, then the later position.
     Everything after the one shuffle by document is window work inside it.
     """
-    sentences = explode_sentences(docs.select(id_col, text).repartition(id_col), id_col, text)
-    rows = sentences.select(id_col, "idx", F.posexplode(tokens(F.col("sentence"))).alias("pos", "token"))
-    share = F.count("*").over(Window.partitionBy(id_col, "token")) / F.count("*").over(Window.partitionBy(id_col))
-    idf = F.lit(1.0) / (F.lit(1.0) + share)
-    number = F.col("token").rlike(r"^\p{Nd}")
-    scored = rows.withColumn("score", F.when(number, idf + 1.0).otherwise(idf))
-    fit = scored.where(~F.lower("token").isin(NEVER_ANCHORS) & (number | (F.length("token") >= 5)))
-    best = Window.partitionBy(id_col, "idx").orderBy(F.desc("score"), F.desc("pos"), F.desc("token"))
-    return fit.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most).drop("place")
+    return _anchors(sentence_tokens(docs, id_col, text), id_col, most).select(id_col, "idx", "pos", "token", "score")
 
 
 def ngrams(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -71,34 +94,22 @@ def band_candidates(sentences: DataFrame, words: DataFrame, id_col: str, gap: in
     return met.where(low <= high).select(id_col, "idx", "start", F.explode(F.sequence(low, high)).alias("end"))
 
 
-def anchor_ranges(found: DataFrame, words: DataFrame, id_col: str, reach: int = 500) -> DataFrame:
-    """(id, idx, low, high, n_found): first and last place of a sentence's anchors among the first `reach` words, and how many of them are there."""
-    near = words.where(F.col("pos") < reach)
-    met = found.select(id_col, "idx", "token").distinct().join(near.select(id_col, F.col("word").alias("token"), F.col("pos").alias("at")), [id_col, "token"])
-    return met.groupBy(id_col, "idx").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.countDistinct("token").alias("n_found"))
-
-
-def sentence_starts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, idx, start, n): the tokens of a text before each sentence, and those of the sentence."""
-    rows = explode_sentences(docs.select(id_col, text).repartition(id_col), id_col, text).select(id_col, "idx", F.size(tokens(F.col("sentence"))).alias("n"))
-    before = F.sum("n").over(Window.partitionBy(id_col).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    return rows.select(id_col, "idx", before.cast("int").alias("start"), "n")
-
-
-def anchor_ranges_ahead(found: DataFrame, starts: DataFrame, words: DataFrame, id_col: str, reach: int = 500) -> DataFrame:
-    """(id, idx, low, high, n_found) as of anchor_ranges(), with the `reach` words counted from each sentence's own start.
+def anchor_ranges(docs: DataFrame, id_col: str = "doc_id", text: str = "text", reach: int = 500, most: int = 3) -> DataFrame:
+    """(id, idx, low, high, n_found): first and last place of a sentence's anchors among the `reach` words from its own start, and how many are there.
 
-    A sentence of more words is looked up in all of its own. starts: (id, idx, start, n). A token's places and the bounds of
-    the sentences that look for it are sorted once each way, so no sentence meets a place in a join.
+    A sentence of more words is looked up in all of its own; one without an anchor in reach has no row. A token's places and the
+    bounds of the sentences that look for it are sorted once each way, so no sentence meets a place in a join. Texts are shuffled
+    once, by id, and both sides stay there.
     """
-    asked = found.select(id_col, "idx", "token").distinct().join(starts, [id_col, "idx"])
-    asked = asked.select(id_col, "token", "idx", "start", (F.col("start") + F.greatest("n", F.lit(reach))).alias("stop"))
+    asked = _anchors(sentence_tokens(docs, id_col, text), id_col, most)
+    asked = asked.select(id_col, "token", "idx", "start", (F.col("start") + F.greatest("n", F.lit(reach))).alias("stop")).distinct()
     none = F.lit(None).cast("int")
-    places = words.select(id_col, F.col("word").alias("token"), none.alias("idx"), none.alias("start"), none.alias("stop"), F.col("pos").alias("at"), F.lit(1).alias("turn"))
+    stream = explode_tokens(docs.select(id_col, text).repartition(id_col), id_col, text).where(_may_anchor("token"))
+    places = stream.select(id_col, "token", none.alias("idx"), none.alias("start"), none.alias("stop"), F.col("pos").alias("at"), F.lit(1).alias("turn"))
     # a bound stands before a place at the same position: places from the start, and places before the stop
     bounds = asked.withColumn("at", F.explode(F.array("start", "stop"))).withColumn("turn", F.lit(0))
     rows = places.unionByName(bounds)
-    token, place = Window.partitionBy(id_col, "token"), F.when(F.col("turn") == 1, F.col("at"))
+    token, place = _groups(id_col, "token"), F.when(F.col("turn") == 1, F.col("at"))
     before = F.last(place, ignorenulls=True).over(token.orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0))
     after = F.last(place, ignorenulls=True).over(token.orderBy(F.desc("at"), F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("before", before).withColumn("after", after).where("turn = 0")

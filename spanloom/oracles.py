@@ -108,8 +108,10 @@ f AS (SELECT doc_id, idx, t[1] AS word, len(t) AS n FROM (SELECT doc_id, idx, {t
 m AS (SELECT f.doc_id, idx, pos AS start, greatest(pos, pos + n - 1 - 10) AS low, least(total - 1, pos + n - 1 + 10) AS high
   FROM f JOIN toks ON f.doc_id = toks.doc_id AND f.word = toks.token JOIN (SELECT doc_id, count(*) AS total FROM toks GROUP BY doc_id) c ON c.doc_id = f.doc_id)
 SELECT doc_id, idx, start, CAST(unnest(range(low, high + 1)) AS INTEGER) AS end FROM m WHERE low <= high""",
-    "anchor_ranges": f"""WITH {DOCS}, {token_rows()}, {ANCHORS}
-SELECT a.doc_id, idx, min(t.pos) AS low, max(t.pos) AS high, count(DISTINCT a.token) AS n_found FROM (SELECT DISTINCT doc_id, idx, token FROM anchors) a JOIN toks t ON a.doc_id = t.doc_id AND a.token = t.token AND t.pos < 500 GROUP BY a.doc_id, idx""",
+    "anchor_ranges": f"""WITH {DOCS}, {token_rows()}, {ANCHORS},
+starts AS (SELECT doc_id, idx, n, sum(n) OVER (PARTITION BY doc_id ORDER BY idx) - n AS start FROM (SELECT doc_id, idx, len({tokens('sentence')}) AS n FROM sents))
+SELECT a.doc_id, a.idx, min(t.pos) AS low, max(t.pos) AS high, count(DISTINCT a.token) AS n_found FROM (SELECT DISTINCT doc_id, idx, token FROM anchors) a
+JOIN starts s ON a.doc_id = s.doc_id AND a.idx = s.idx JOIN toks t ON a.doc_id = t.doc_id AND a.token = t.token AND t.pos >= s.start AND t.pos < s.start + greatest(s.n, 500) GROUP BY a.doc_id, a.idx""",
     "hybrid_merge": f"""WITH {DOCS}, {SPANS}, {OTHER}
 SELECT o.doc_id, o.idx, o.text, coalesce(o.start_ms, s.start_ms) AS start_ms, coalesce(o.end_ms, s.end_ms) AS end_ms,
   CASE WHEN o.start_ms IS NOT NULL THEN 'external' WHEN s.start_ms IS NOT NULL THEN 'fuzzy' END AS method FROM other o JOIN spans s ON o.doc_id = s.doc_id AND o.idx = s.idx""",

@@ -168,16 +168,7 @@ def band_candidates(spark, sf_dir):
 
 
 def anchor_ranges(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    stream = text_functions.explode_tokens(docs, "doc_id", "text").withColumnRenamed("token", "word")
-    return words.anchor_ranges(words.anchors(docs), stream, "doc_id")
-
-
-def anchor_ranges_ahead(spark, sf_dir):
-    """anchor_ranges over whole texts: its SQL looks at the first 500 words of a text alone."""
-    docs = documents(spark, sf_dir)
-    stream = text_functions.explode_tokens(docs, "doc_id", "text").withColumnRenamed("token", "word")
-    return words.anchor_ranges_ahead(words.anchors(docs), words.sentence_starts(docs), stream, "doc_id")
+    return words.anchor_ranges(documents(spark, sf_dir))
 
 
 def align_fuzzy(spark, sf_dir):
@@ -333,7 +324,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         strip_quotes, normalize_text, tokenize_docs, sentence_split, token_freq, token_idf, distinct_vocab, anchors_top3, token_weight, unit_normalize,
-        number_equiv_digits, indel_ratio_pairs, fuzzy_vocab_join, ngrams, word_timeline, band_candidates, anchor_ranges, anchor_ranges_ahead, align_fuzzy, align_fallback,
+        number_equiv_digits, indel_ratio_pairs, fuzzy_vocab_join, ngrams, word_timeline, band_candidates, anchor_ranges, align_fuzzy, align_fallback,
         align_external, hybrid_build, hybrid_merge, manual_override, aligned_renumber, repeat_rule, repeat_histogram, block_ends, read_offsets,
         report_details, report_counts, summary_line, success_rate, issue_lines, avg_quality, manifest_rows, manifest_offsets, compare_methods,
         review_queue, time_format, time_parse, file_names, transcript_explode, words_envelope, silence_blocks,

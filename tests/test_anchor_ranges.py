@@ -1,7 +1,8 @@
 import pytest
 
-from spanloom.functions.text import explode_tokens
+from spanloom.functions.text import explode_tokens, token_list
 from spanloom.operators import words
+from spanloom.operators.sentences import explode_sentences
 
 
 def plain(docs, found, starts, reach):
@@ -16,20 +17,22 @@ def plain(docs, found, starts, reach):
 
 
 @pytest.mark.parametrize("reach", [5, 500])
-def test_anchor_ranges_ahead(spark, reach):
+def test_anchor_ranges(spark, reach):
     filler = " ".join(f"Plain number{i % 7} again and again the same." for i in range(120))
     long = " ".join(f"wording{i}" for i in range(700))
     rows = [(1, f"{filler} Finally elephants arrived."), (2, f"First {long} zebras12. {filler}"), (3, None), (4, "Elephants, elephants! Elephants?")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     stream = explode_tokens(df, "doc_id", "text").withColumnRenamed("token", "word")
-    anchors, starts = words.anchors(df), words.sentence_starts(df)
-    got = sorted(tuple(r) for r in words.anchor_ranges_ahead(anchors, starts, stream, "doc_id", reach).collect())
+    got = sorted(tuple(r) for r in words.anchor_ranges(df, reach=reach).collect())
     docs, found = {}, {}
     for r in stream.orderBy("doc_id", "pos").collect():
         docs.setdefault(r.doc_id, []).append(r.word)
-    for r in anchors.collect():
+    for r in words.anchors(df).collect():
         found.setdefault((r.doc_id, r.idx), set()).add(r.token)
-    of = {(r.doc_id, r.idx): (r.start, r.n) for r in starts.collect()}
+    of, before = {}, {}
+    for r in explode_sentences(df).orderBy("doc_id", "idx").collect():
+        n, start = len(token_list(r.sentence)), before.get(r.doc_id, 0)
+        of[r.doc_id, r.idx], before[r.doc_id] = (start, n), start + n
     assert got == plain(docs, found, of, reach)
     # no sentence with anchors is lost, wherever it stands
     assert {(doc, idx) for doc, idx, *_ in got} == set(found)

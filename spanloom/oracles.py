@@ -82,6 +82,10 @@ ENDS = f"{DOCS}, {token_rows()}, line AS (SELECT doc_id, pos, token AS word, CAS
 _UNIT = "CASE rtrim(lower(token), 's.') " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in UNITS.items()) + " ELSE token END"
 _LONG = "CASE replace(lower(token), '''', '') " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CONTRACTIONS.items()) + " ELSE token END"
 _MINUTES = "lpad(CAST(ms // 60000 AS VARCHAR), CAST(greatest(2, length(CAST(ms // 60000 AS VARCHAR))) AS INTEGER), '0') || ':' || lpad(CAST(ms // 1000 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(ms % 1000 AS VARCHAR), 3, '0')"
+_READS = " || ".join(
+    f"CASE WHEN num_repeats > {i} THEN '\"{name}_read_start\":' || (block_start + {i} * (clip_ms + 10000)) || ',\"{name}_read_end\":' || (block_start + {i} * (clip_ms + 10000) + clip_ms) || ',' ELSE '' END"
+    for i, name in enumerate(("first", "second", "third", "fourth", "fifth"))
+)
 
 ORACLE_SQL = {
     "strip_quotes": "SELECT doc_id, translate(text, '\"''', '') AS text FROM documents",
@@ -138,6 +142,17 @@ SELECT s.doc_id, s.idx, CASE WHEN s.start_ms IS NULL THEN 'not_aligned' END AS s
   CASE WHEN b.num_repeats = 5 THEN b.block_start + 4 * (b.clip_ms + 10000) END AS fifth_start, CASE WHEN b.num_repeats = 5 THEN b.block_start + 4 * (b.clip_ms + 10000) + b.clip_ms END AS fifth_end,
   b.num_repeats, round(b.seconds, 3) AS original_duration_seconds
 FROM spans s LEFT JOIN blocks b ON s.doc_id = b.doc_id AND s.idx = b.idx""",
+    "manifest_rows": f"""WITH {DOCS}, {SPANS}, {BLOCKS},
+r AS (
+  SELECT s.doc_id, s.idx, s.text, s.start_ms, s.end_ms, CAST(CASE s.status WHEN 'ok' THEN 1.0 ELSE s.score END AS DOUBLE) AS score,
+    CASE s.status WHEN 'failed' THEN 'alignment failed' WHEN 'warning' THEN 'low score but acceptable' ELSE 'ok' END AS note,
+    b.block_start, b.block_end, b.clip_ms, b.num_repeats, round(b.seconds, 3) AS seconds
+  FROM spans s LEFT JOIN blocks b ON s.doc_id = b.doc_id AND s.idx = b.idx)
+SELECT doc_id, idx, '{{"idx":' || idx || ',"text":' || CAST(to_json(text) AS VARCHAR)
+  || CASE WHEN start_ms IS NULL THEN ',"status":"not_aligned"' ELSE ',"source_span_ms":{{"start":' || start_ms || ',"end":' || end_ms || ',"pad_ms":100}}' END
+  || ',"quality":{{"score":' || score || ',"note":"' || note || '"}}'
+  || CASE WHEN block_end IS NULL THEN '' ELSE ',"output_offsets_ms":{{' || {_READS} || '"block_end":' || block_end || '}},"num_repeats":' || num_repeats || ',"original_duration_seconds":' || seconds END || '}}' AS entry
+FROM r""",
     "compare_methods": f"""WITH {DOCS}, {SPANS}, {OTHER},
 c AS (SELECT s.doc_id, s.idx, greatest(abs(s.start_ms - o.start_ms), abs(s.end_ms - o.end_ms)) AS d, s.start_ms AS a, o.start_ms AS b FROM spans s JOIN other o ON s.doc_id = o.doc_id AND s.idx = o.idx),
 k AS (SELECT doc_id, idx, CASE WHEN a IS NULL AND b IS NULL THEN 'both_failed' WHEN b IS NULL THEN 'fuzzy_only' WHEN a IS NULL THEN 'external_only' WHEN d > 500 THEN 'timestamp_diff' END AS kind,

@@ -39,6 +39,10 @@ def token_rows(source: str = "docs") -> str:
     return f"toks AS (SELECT doc_id, CAST(unnest(range(0, len(t))) AS INTEGER) AS pos, unnest(t) AS token FROM (SELECT doc_id, {tokens('text')} AS t FROM {source}))"
 
 
+def spent(words: str) -> str:
+    return f"CAST(coalesce(list_sum(list_transform({words}, lambda w: 60 * length(w) + 40)), 0) AS BIGINT)"
+
+
 def ratio(a: str, b: str) -> str:
     row = (
         f"list_reduce(list_prepend(list_transform(range(0, length({b}) + 1), lambda z: 0), list_transform(string_split({a}, ''), lambda c: [ord(c)])), lambda r, x: "
@@ -116,6 +120,15 @@ SELECT doc_id, idx, start, CAST(unnest(range(low, high + 1)) AS INTEGER) AS end
 starts AS (SELECT doc_id, idx, n, sum(n) OVER (PARTITION BY doc_id ORDER BY idx) - n AS start FROM (SELECT doc_id, idx, len({tokens('sentence')}) AS n FROM sents))
 SELECT a.doc_id, a.idx, min(t.pos) AS low, max(t.pos) AS high, count(DISTINCT a.token) AS n_found FROM (SELECT DISTINCT doc_id, idx, token FROM anchors) a
 JOIN starts s ON a.doc_id = s.doc_id AND a.idx = s.idx JOIN toks t ON a.doc_id = t.doc_id AND a.token = t.token AND t.pos >= s.start AND t.pos < s.start + greatest(s.n, 500) GROUP BY a.doc_id, a.idx""",
+    "align_external": f"""WITH {ITEMS}, {SENTENCES},
+spoken AS (
+  SELECT doc_id, list_filter(list_transform(t, lambda w, i: CASE WHEN i % 17 = 0 THEN NULL WHEN i % 11 = 0 THEN left(w, length(w) - 1) ELSE w END), lambda w: w IS NOT NULL) AS words
+  FROM (SELECT doc_id, {tokens('text')} AS t FROM docs)),
+asked AS (SELECT s.doc_id, idx, sentence, {tokens('sentence')} AS t, words FROM sents s JOIN spoken p ON s.doc_id = p.doc_id),
+found AS (SELECT *, CASE WHEN len(t) > 0 THEN list_filter(range(1, len(words) - len(t) + 2), lambda i: words[i:i + len(t) - 1] = t)[1] END AS place FROM asked)
+SELECT doc_id, idx, sentence AS text, CASE WHEN place IS NULL THEN 'failed' ELSE 'ok' END AS status, CAST(NULL AS DOUBLE) AS score, CASE WHEN place IS NULL THEN 'no times found' ELSE '' END AS note,
+  CASE WHEN place IS NOT NULL THEN greatest(0, {spent('words[1:place - 1]')} - 100) END AS start_ms, CASE WHEN place IS NOT NULL THEN {spent('words[1:place + len(t) - 1]')} + 100 END AS end_ms
+FROM found""",
     "hybrid_merge": f"""WITH {DOCS}, {SPANS}, {OTHER}
 SELECT o.doc_id, o.idx, o.text, coalesce(o.start_ms, s.start_ms) AS start_ms, coalesce(o.end_ms, s.end_ms) AS end_ms,
   CASE WHEN o.start_ms IS NOT NULL THEN 'external' WHEN s.start_ms IS NOT NULL THEN 'fuzzy' END AS method FROM other o JOIN spans s ON o.doc_id = s.doc_id AND o.idx = s.idx""",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, ngram_join, packing, pii, quality_rules, suffix_dedup, token_counts, url_filters, warc
+from . import byte_bpe, collocations, exact_dedup, ngram_join, packing, pii, quality_rules, suffix_dedup, token_counts, url_filters, warc
 
 #: The rules of the URL query: (host, path, verdict).
 URL_RULES = (
@@ -78,6 +78,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_token_counts": op2_token_counts,
@@ -89,6 +93,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_pii": op9_pii,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_phrase_collocations": op11_phrase_collocations,
 }
 
 _SPACES = r"[\x20\x09-\x0D]"
@@ -171,5 +176,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND n_words <= 1000000 AND 100 * n_symbols <= 10 * n_words AND word_chars BETWEEN 2 * n_words AND 15 * n_words
     AND 100 * n_dup_lines <= 50 * n_lines AND n_stop_words >= 2 AS kept
 FROM b
+""",
+    "op11_phrase_collocations": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS t FROM p),
+g AS (SELECT lang, size, unnest(list_transform(range(1, len(t) - size + 2), lambda i: array_to_string(t[i:i + size - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS size)),
+f AS (SELECT lang, size, phrase, count(*) AS a FROM g GROUP BY ALL),
+c AS (SELECT lang, size, phrase, a FROM f WHERE size >= 2 AND a >= 30),
+k AS (SELECT lang, size, phrase, a, string_split(phrase, ' ') AS t, unnest(range(1, size)) AS k FROM c),
+s AS (
+  SELECT k.lang, k.phrase, k.size, k.a, k, x.a AS l, y.a AS r, (2000000 * CAST(k.a AS HUGEINT)) // (CAST(x.a AS HUGEINT) + y.a) AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(t[1:k], ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(t[k + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+h AS (
+  SELECT DISTINCT b.lang, b.phrase FROM b JOIN (SELECT lang, a, string_split(phrase, ' ') AS t, size FROM c WHERE size > 2) o
+    ON b.lang = o.lang AND 100 * o.a >= 80 * b.a AND b.size < o.size AND b.phrase IN (
+      array_to_string(o.t[1:b.size], ' '), array_to_string(o.t[2:b.size + 1], ' '), CASE WHEN b.size + 2 <= o.size THEN array_to_string(o.t[3:b.size + 2], ' ') END)),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM b ANTI JOIN h USING (lang, phrase) JOIN n USING (lang) QUALIFY rank <= 2000
 """,
 }

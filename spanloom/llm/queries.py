@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, collocations, exact_dedup, ngram_join, packing, pii, quality_rules, suffix_dedup, token_counts, url_filters, warc
+from . import byte_bpe, collocations, exact_dedup, ngram_join, packing, pii, quality_rules, suffix_dedup, tiered_packing, token_counts, url_filters, warc
 
 #: The rules of the URL query: (host, path, verdict).
 URL_RULES = (
@@ -82,6 +82,11 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = tiered_packing.tiered_packing(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window_size", "step")
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_token_counts": op2_token_counts,
@@ -94,6 +99,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_tiered_packing": op12_tiered_packing,
 }
 
 _SPACES = r"[\x20\x09-\x0D]"

@@ -11,7 +11,7 @@ from ..plans.config import Config
 from . import external
 from .align import align
 
-DETAILS = ("doc_id", "idx", "text", "status", "score", "reason", "method", "start_idx", "end_idx", "ord")
+DETAILS = ("doc_id", "idx", "text", "status", "score", "reason", "method", "start_idx", "end_idx", "confidence", "span_ms", "ord")
 
 
 def unaligned(spans: DataFrame) -> DataFrame:
@@ -36,11 +36,18 @@ def merge_spans(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def details(spans: DataFrame, method: str, place: int = 0) -> DataFrame:
-    """Rows of the report: one for each sentence that isn't simply fine, with texts of up to 120 characters. place orders the rows of several aligners."""
+    """Rows of the report: one for each sentence that isn't simply fine, with texts of up to 120 characters. place orders the rows of several aligners.
+
+    Places of words are the fuzzy aligner's; the confidence, and with it the span in ms, are the external one's.
+    """
     has = set(spans.columns)
     score = F.col("score") if "score" in has else F.lit(None).cast("double")
     index = [F.col(c) if c in has else F.lit(None).cast("int").alias(c) for c in ("start_idx", "end_idx")]
-    rows = spans.where("status <> 'ok'").select("doc_id", "idx", F.substring("text", 1, 120).alias("text"), "status", score.alias("score"), F.col("note").alias("reason"), F.lit(method).alias("method"), *index)
+    confidence = F.col("confidence") if "confidence" in has else F.lit(None).cast("double")
+    span = F.when(confidence.isNotNull() & F.col("start_ms").isNotNull(), F.struct(F.col("start_ms").alias("start"), F.col("end_ms").alias("end"))).alias("span_ms")
+    rows = spans.where("status <> 'ok'").select(
+        "doc_id", "idx", F.substring("text", 1, 120).alias("text"), "status", score.alias("score"), F.col("note").alias("reason"), F.lit(method).alias("method"), *index, confidence.alias("confidence"), span
+    )
     return rows.withColumn("ord", F.lit(place))
 
 

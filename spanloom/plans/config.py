@@ -45,6 +45,10 @@ class External:
     retry_delay: float = 1.0
     timeout: float = 30
     max_tokens: int = 200
+    #: Folder of replies that later builds read too; without it each build has its own.
+    journal: str | None = None
+    #: Of one executor.
+    calls_per_second: float | None = None
 
 
 @dataclass(frozen=True)

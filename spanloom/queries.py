@@ -182,7 +182,7 @@ def align_fallback(spark, sf_dir):
 
 
 def align_external(spark, sf_dir):
-    return external.align_external(spoken(benchmark(spark, sf_dir), perturb=True), external.ExactProvider())
+    return external.align_external(spoken(benchmark(spark, sf_dir), perturb=True), external.ExactProvider()).drop("confidence")
 
 
 def hybrid_build(spark, sf_dir):

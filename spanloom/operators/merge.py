@@ -10,10 +10,23 @@ from pyspark.sql import functions as F
 from ..plans.config import Config
 from . import external
 from .align import align
+from .long_align import align_long
 
 DETAILS = ("doc_id", "idx", "text", "status", "score", "reason", "method", "start_idx", "end_idx", "confidence", "span_ms", "ord")
 
 
+def align_all(docs: DataFrame, config: Config) -> DataFrame:
+    """align(), with documents of more sentences or words than config.alignment.long_document on many tasks each; the rows are the same."""
+    most = config.alignment.long_document
+    if not most:
+        return align(docs, config.alignment, config.pad_ms)
+    long = (F.coalesce(F.size("sentences"), F.lit(0)) > most) | (F.coalesce(F.size("words"), F.lit(0)) > most)
+    found = align(docs.where(~long), config.alignment, config.pad_ms)
+    if docs.where(long).isEmpty():
+        return found
+    return found.unionByName(align_long(docs.where(long), config.alignment, config.pad_ms))
+
+
 def unaligned(spans: DataFrame) -> DataFrame:
     return spans.where("start_ms is null")
 
@@ -23,7 +36,7 @@ def fuzzy_retry(docs: DataFrame, first: DataFrame, config: Config) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("idx")
     missed = unaligned(first).withColumn("again", F.row_number().over(order)).select("doc_id", "idx", "again", "text")
     lists = missed.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("again", "text"))), lambda s: s["text"]).alias("sentences"))
-    found = align(docs.select("doc_id", "words").join(lists, "doc_id"), config.alignment, config.pad_ms)
+    found = align_all(docs.select("doc_id", "words").join(lists, "doc_id"), config)
     return found.withColumnRenamed("idx", "again").join(missed.select("doc_id", "idx", "again"), ["doc_id", "again"]).drop("again")
 
 
@@ -61,7 +74,7 @@ def route(docs: DataFrame, config: Config, provider: external.Provider | None =
         warnings.warn("no provider, so hybrid aligns by fuzzy search alone", stacklevel=2)
         method = "fuzzy"
     if method not in ("external", "hybrid"):
-        found = align(docs, config.alignment, config.pad_ms)
+        found = align_all(docs, config)
         spans = found.select("doc_id", "idx", "text", "start_ms", "end_ms", F.when(F.col("start_ms").isNotNull(), "fuzzy").alias("method"))
         return spans, details(found, "fuzzy")
     if provider is None:

@@ -110,6 +110,14 @@ SELECT x.digits, x.word AS a, y.word AS b FROM d x JOIN d y ON x.digits = y.digi
 p AS (SELECT x.token AS a, y.token AS b FROM v x JOIN v y ON x.token < y.token AND 200.0 * least(length(x.token), length(y.token)) >= 92.0 * (length(x.token) + length(y.token))),
 r AS (SELECT a, b, {ratio('a', 'b')} AS ratio FROM p) SELECT a, b, round(ratio, 6) AS ratio FROM r WHERE ratio >= 92.0""",
     "ngrams": f"WITH {ITEMS}, {token_rows()}, l AS (SELECT doc_id, pos, token, lead(token, 1) OVER o AS t1, lead(token, 2) OVER o AS t2 FROM toks WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) SELECT doc_id, pos, token || ' ' || t1 AS bigram, token || t1 AS two, token || t1 || t2 AS three FROM l",
+    "compound_matches": f"""WITH {DOCS}, {token_rows()}, l AS (SELECT doc_id, pos, token, lead(token, 1) OVER o AS t1, lead(token, 2) OVER o AS t2 FROM toks WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+n AS (SELECT doc_id, pos, 2 AS size, token || t1 AS run FROM l WHERE t1 IS NOT NULL UNION ALL SELECT doc_id, pos, 3, token || t1 || t2 FROM l WHERE t2 IS NOT NULL),
+k AS (SELECT DISTINCT doc_id, token FROM toks WHERE length(token) > 8), r AS (SELECT DISTINCT doc_id, run FROM n),
+d AS (SELECT doc_id, token, run FROM (SELECT doc_id, token, regexp_replace(token, '[^0-9]', '', 'g') AS x FROM k) JOIN (SELECT doc_id, run, regexp_replace(run, '[^0-9]', '', 'g') AS y FROM r) USING (doc_id) WHERE x = y AND x <> ''),
+c AS (SELECT doc_id, token, run FROM k JOIN r USING (doc_id) WHERE 200.0 * least(length(token), length(run)) >= 92.0 * (length(token) + length(run)) AND levenshtein(token, run) <= 0.08 * (length(token) + length(run)) * CASE WHEN strlen(token) + strlen(run) = length(token) + length(run) THEN 1 ELSE 4 END + 0.001),
+s AS (SELECT doc_id, token, run FROM c WHERE token = run OR {ratio('token', 'run')} >= 92.0),
+p AS (SELECT * FROM d UNION SELECT * FROM s)
+SELECT p.doc_id, token, pos, CAST(size AS INTEGER) AS size FROM p JOIN n ON n.doc_id = p.doc_id AND n.run = p.run""",
     "word_timeline": f"WITH {ENDS} SELECT doc_id, pos, word, end_ms - took AS start_ms, end_ms FROM line",
     "band_candidates": f"""WITH {ITEMS}, {token_rows()}, {SENTENCES},
 f AS (SELECT doc_id, idx, t[1] AS word, len(t) AS n FROM (SELECT doc_id, idx, {tokens('sentence')} AS t FROM sents) WHERE len(t) > 0),

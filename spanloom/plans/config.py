@@ -33,6 +33,8 @@ class Alignment:
     fallback_expand_window: int = 1000
     fallback_elastic_gap: int = 18
     fallback_token_ratio: float = 88
+    #: Sentences or words beyond which a document is aligned on many tasks; 0 for never.
+    long_document: int = 50_000
 
 
 @dataclass(frozen=True)

@@ -13,7 +13,7 @@ from .functions import text as text_functions
 from .functions import timecode
 from .functions.similarity import indel_ratio
 from .operators import align as alignment
-from .operators import audio, compare, external, merge, report, schedule, sentences, words
+from .operators import audio, compare, compound, external, long_align, merge, report, schedule, sentences, words
 from .plans.config import Alignment, Config
 from .sources import readers
 
@@ -156,6 +156,13 @@ def ngrams(spark, sf_dir):
     return words.ngrams(benchmark(spark, sf_dir), "doc_id", "text")
 
 
+def compound_matches(spark, sf_dir):
+    """Long tokens of each document against its own words, two or three run together."""
+    docs = documents(spark, sf_dir)
+    tokens = text_functions.explode_tokens(docs, "doc_id", "text").select("doc_id", "token")
+    return compound.compound_matches(tokens, words.ngrams(docs, "doc_id", "text"), 92.0)
+
+
 def word_timeline(spark, sf_dir):
     return words.derived_words(documents(spark, sf_dir))
 
@@ -181,6 +188,12 @@ def align_fallback(spark, sf_dir):
     return found.withColumn("score", F.round("score", 9))
 
 
+def align_segments(spark, sf_dir):
+    """align_fallback's rows by the segment-parallel fold: all documents, in segments of 50 sentences."""
+    found = long_align.align_long(spoken(documents(spark, sf_dir), perturb=True), LENIENT, segment=50)
+    return found.withColumn("score", F.round("score", 9))
+
+
 def align_external(spark, sf_dir):
     return external.align_external(spoken(benchmark(spark, sf_dir), perturb=True), external.ExactProvider()).drop("confidence")
 
@@ -324,7 +337,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         strip_quotes, normalize_text, tokenize_docs, sentence_split, token_freq, token_idf, distinct_vocab, anchors_top3, token_weight, unit_normalize,
-        number_equiv_digits, indel_ratio_pairs, fuzzy_vocab_join, ngrams, word_timeline, band_candidates, anchor_ranges, align_fuzzy, align_fallback,
+        number_equiv_digits, indel_ratio_pairs, fuzzy_vocab_join, ngrams, compound_matches, word_timeline, band_candidates, anchor_ranges, align_fuzzy, align_fallback, align_segments,
         align_external, hybrid_build, hybrid_merge, manual_override, aligned_renumber, repeat_rule, repeat_histogram, block_ends, read_offsets,
         report_details, report_counts, summary_line, success_rate, issue_lines, avg_quality, manifest_rows, manifest_offsets, compare_methods,
         review_queue, time_format, time_parse, file_names, transcript_explode, words_envelope, silence_blocks,

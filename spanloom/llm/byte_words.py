@@ -77,6 +77,13 @@ def words(data: np.ndarray, bounds: np.ndarray, kinds: np.ndarray) -> Words:
     return Words(names, codes, rows, np.searchsorted(np.flatnonzero(kind == BREAK), where))
 
 
+def as_bytes(values: pa.Array) -> list[bytes]:
+    """A large_binary array without nulls as Python bytes."""
+    _, offsets, data = values.buffers()
+    cuts = np.frombuffer(offsets, dtype=np.int64)[values.offset : values.offset + len(values) + 1].tolist() if len(values) else [0]
+    return list(map((data.to_pybytes() if data is not None else b"").__getitem__, map(slice, cuts[:-1], cuts[1:])))
+
+
 def strings(values: pa.Array) -> pa.Array:
     """Bytes that are UTF-8 as strings."""
     return values.view(pa.large_string()) if values.type == pa.large_binary() else values

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .byte_words import BREAK, GAP, map_batches, strings, text_slices, words
+from .byte_words import BREAK, GAP, as_bytes, map_batches, strings, text_slices, words
 from .common import join_groups, staged
 
 #: Marks between pieces, and white space between words.
@@ -129,7 +129,7 @@ def ngrams(texts: DataFrame, sizes: range, kept: PhraseFilter | None = None) ->
             yield names, None, counts, 1
             return
         filter_ = PhraseFilter(*known.value)
-        hashes = word_hashes(names.to_pylist(), lang)
+        hashes = word_hashes(as_bytes(names), lang)
         together = (rows[1:] == rows[:-1]) & (parts[1:] == parts[:-1])
         if least == 2:
             usual = filter_.may_hold(phrase_hashes([hashes]))[codes]

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .byte_words import GAP, map_batches, strings, text_slices, words
+from .byte_words import GAP, as_bytes, map_batches, strings, text_slices, words
 from .collocations import PhraseFilter, phrase_filter, phrase_hashes, word_hashes
 from .common import staged
 
@@ -71,7 +71,7 @@ def document_index(docs: DataFrame, asked: PhraseFilter, id_col: str = "doc_id",
             for first, data, bounds in text_slices(batch.column(1)):
                 names, codes, rows, _ = words(data, bounds, KINDS)
                 size = len(bounds) - 1
-                kept = filter_.may_hold(phrase_hashes([word_hashes(names.to_pylist(), "")]))[codes]
+                kept = filter_.may_hold(phrase_hashes([word_hashes(as_bytes(names), "")]))[codes]
                 keys, counts = np.unique(rows[kept] * max(1, len(names)) + codes[kept], return_counts=True)
                 rows_of, codes_of = np.divmod(keys, max(1, len(names)))
                 ends = pa.array(np.searchsorted(rows_of, np.arange(size + 1)).astype(np.int32))

@@ -18,6 +18,7 @@ no rows; a very long text is cut like any other; a null id stays null; columns b
 from __future__ import annotations
 
 import bisect
+import uuid
 import zlib
 from collections import defaultdict
 from functools import lru_cache
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .byte_words import encoded, map_batches, text_slices
+from .byte_words import as_bytes, encoded, map_batches, text_slices
 from .common import FEW_ROWS, staged
 
 CAPACITY, LEAST_TIER = 1024, 64
@@ -35,8 +36,10 @@ CAPACITY, LEAST_TIER = 1024, 64
 STEP = 512 * 1024
 #: Documents of one length that are numbered in one task, in the mean.
 NUMBERED_AT_ONCE = 200_000
-#: Chunks that a worker remembers, and their characters.
-REMEMBERED, REMEMBERED_CHARACTERS = 1_000_000, 50_000_000
+#: Chunks of each of a worker's two memories, and their bytes.
+REMEMBERED, REMEMBERED_BYTES = 250_000, 10_000_000
+#: Bytes of text that are encoded together, and chunks that are joined for it.
+ENCODED_AT_ONCE, JOINED = 3_000_000, 1000
 
 
 class Pool:
@@ -122,6 +125,19 @@ class Placements:
         return [(start, length, size, first + rank - low, offset) for low, _, start, length, size, first, offset in self.found[whole][at]]
 
 
+@lru_cache(maxsize=1)
+def _kept_placements(key: str) -> list[Placements]:
+    return []
+
+
+def _placements(key: str, rows: list[tuple[int, ...]]) -> Placements:
+    """One for all tasks that a worker runs of a plan."""
+    kept = _kept_placements(key)
+    if not kept:
+        kept.append(Placements(rows))
+    return kept[0]
+
+
 def _kinds() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     wide, letter, mark = np.zeros((3, 256), dtype=bool)
     wide[0xC3:0xE0] = True  # begins a character of two bytes, none of which is white space
@@ -167,22 +183,51 @@ def _tokenizer(path: str):
     return found
 
 
-class ChunkIds(dict):
-    """The ids, as little-endian bytes, of chunks of text."""
+class ChunkIds:
+    """The ids, as little-endian bytes, of chunks of text. When the young memory is full it becomes the old one; what is asked for again comes back."""
 
     def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer, self.held = tokenizer, 0
+        self.tokenizer = tokenizer
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.held = 0
+        names = tokenizer.get_vocab(with_added_tokens=False)
+        self.sizes = np.zeros(max(names.values()) + 1, dtype=np.int64)
+        self.sizes[list(names.values())] = list(map(len, names))  # a letter of a name stands for a byte
+
+    def _encode(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """Chunks that begin with a space and a solid character, and end with one, keep their ids when they are joined; the bytes of the ids tell them apart again."""
+        solid, wide = SOLID.tolist(), WIDE.tolist()
+        usual = [c for c in chunks if len(c) > 1 and c[0] == 0x20 and solid[c[1]] and (0x20 < c[-1] < 0x7F or wide[c[-2]])]
+        out = {}
+        for first in range(0, len(usual), JOINED):
+            group = usual[first : first + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(group).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends, reached = np.cumsum(list(map(len, group))), np.cumsum(self.sizes[ids])
+            stops = np.searchsorted(reached, ends)
+            if len(ids) and reached[-1] == ends[-1] and np.array_equal(reached[stops], ends):
+                data, cuts = ids.tobytes(), (4 * (stops + 1)).tolist()
+                out.update(zip(group, map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
+        rest = [c for c in chunks if c not in out]
+        got = self.tokenizer.encode_batch_fast([c.decode() for c in rest], add_special_tokens=False)
+        out.update((c, np.array(x.ids, dtype="<u4").tobytes()) for c, x in zip(rest, got, strict=True))
+        return out
 
     def of(self, chunks: list[bytes]) -> list[bytes]:
-        new = [c for c in chunks if c not in self]
-        self.held += sum(map(len, new))
-        if len(self) + len(new) > REMEMBERED or self.held > REMEMBERED_CHARACTERS:
-            self.clear()
-            new, self.held = chunks, sum(map(len, chunks))
-        for chunk, got in zip(new, self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False), strict=True):
-            self[chunk] = np.array(got.ids, dtype="<u4").tobytes()
-        return list(map(self.__getitem__, chunks))
+        young, old = self.young, self.old
+        missed = [c for c in chunks if c not in young]
+        fresh = []
+        for chunk in missed:
+            if chunk in old:
+                young[chunk] = old[chunk]
+            else:
+                fresh.append(chunk)
+        young.update(self._encode(fresh))
+        found = list(map(young.__getitem__, chunks))
+        self.held += sum(map(len, missed))
+        if len(young) > REMEMBERED or self.held > REMEMBERED_BYTES:
+            self.old, self.young, self.held = young, {}, 0
+        return found
 
 
 @lru_cache(maxsize=1)
@@ -197,7 +242,7 @@ def slice_ids(memory: ChunkIds, data: np.ndarray, bounds: np.ndarray) -> tuple[n
     if len(starts) < 2:
         return np.zeros(0, dtype="<u4"), np.zeros(len(bounds), dtype=np.int64)
     names, codes = encoded(data, starts)
-    parts = memory.of(names.to_pylist())
+    parts = memory.of(as_bytes(names))
     sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
     firsts = np.cumsum(sizes) - sizes
     ids = np.frombuffer(b"".join(parts), dtype="<u4")
@@ -217,7 +262,7 @@ def encoded_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, clos
         def work(batch):
             if batch is None or not batch.num_rows:
                 return
-            for first, data, bounds in text_slices(batch.column(1)):
+            for first, data, bounds in text_slices(batch.column(1), ENCODED_AT_ONCE):
                 ids, edges = slice_ids(memory, data, bounds)
                 tokens, crcs, left, rest = [], [], [], []
                 for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -268,7 +313,7 @@ def tiered_packing(
     for size in sorted(windows, reverse=True):
         bases[size], at = at, at + windows[size]
     steps = max(1, sum(size * n for size, n in windows.items()) // step)
-    sent = spark.sparkContext.broadcast((placed, dict(windows), bases, whole_before))  # of the size of the plan
+    sent = spark.sparkContext.broadcast((uuid.uuid4().hex, placed, dict(windows), bases, whole_before))  # of the size of the plan
 
     order = [id_col, "_tokens", F.crc32("_rest"), "_crcs"]
     within = Window.partitionBy("_left", "_deal").orderBy(*order)
@@ -280,8 +325,8 @@ def tiered_packing(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
-        placed, windows, bases, whole_before = sent.value
-        placements = Placements(placed)
+        key, placed, windows, bases, whole_before = sent.value
+        placements = _placements(key, placed)
 
         def work(batch):
             if batch is None or not batch.num_rows:

@@ -13,7 +13,7 @@ from .functions import text as text_functions
 from .functions import timecode
 from .functions.similarity import indel_ratio
 from .operators import align as alignment
-from .operators import audio, compare, compound, external, long_align, merge, report, schedule, sentences, words
+from .operators import audio, compare, compound, external, long_align, merge, report, schedule, sentences, splitter, words
 from .plans.config import Alignment, Config
 from .sources import readers
 
@@ -108,6 +108,19 @@ def sentence_split(spark, sf_dir):
     return sentences.explode_sentences(documents(spark, sf_dir))
 
 
+def learned_splitter(spark, sf_dir):
+    """What the documents teach the trained splitter: abbreviations, collocations and beginnings with their scores."""
+    learned = splitter.train(documents(spark, sf_dir))
+    part = lambda name, df, after: df.select(F.lit(name).alias("kind"), "type", after.alias("next"), F.round("score", 4).alias("score"))
+    none = F.lit(None).cast("string")
+    return part("abbreviation", learned.abbreviations, none).unionByName(part("collocation", learned.collocations, F.col("next"))).unionByName(part("starter", learned.starters, none))
+
+
+def trained_sentences(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return splitter.explode_sentences(docs, splitter.train(docs))
+
+
 def token_freq(spark, sf_dir):
     return words.token_frequency(documents(spark, sf_dir))
 
@@ -336,7 +349,7 @@ def silence_blocks(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        strip_quotes, normalize_text, tokenize_docs, sentence_split, token_freq, token_idf, distinct_vocab, anchors_top3, token_weight, unit_normalize,
+        strip_quotes, normalize_text, tokenize_docs, sentence_split, learned_splitter, trained_sentences, token_freq, token_idf, distinct_vocab, anchors_top3, token_weight, unit_normalize,
         number_equiv_digits, indel_ratio_pairs, fuzzy_vocab_join, ngrams, compound_matches, word_timeline, band_candidates, anchor_ranges, align_fuzzy, align_fallback, align_segments,
         align_external, hybrid_build, hybrid_merge, manual_override, aligned_renumber, repeat_rule, repeat_histogram, block_ends, read_offsets,
         report_details, report_counts, summary_line, success_rate, issue_lines, avg_quality, manifest_rows, manifest_offsets, compare_methods,
@@ -344,4 +357,6 @@ QUERIES = {
     )
 }
 
-from .oracles import ORACLE_SQL  # noqa: E402, F401
+from . import oracles, oracles_splitter  # noqa: E402
+
+ORACLE_SQL = {**oracles.ORACLE_SQL, **oracles_splitter.ORACLE_SQL}

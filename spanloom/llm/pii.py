@@ -3,7 +3,7 @@
 Base detectors find e-mail addresses, IPv4 addresses, card numbers and phone numbers as they are written. Then
 transducers rewrite disguises and keep, for every character they write, the span of source characters it
 came from: look-alike letters and digits, invisible characters, spelled digits, and "at", "dot" and "plus" as words
-or in brackets. The same detectors run on the rewritten text, and their finds are mapped back to the source.
+or in brackets, also between the numbers of an IP address. The same detectors run on the rewritten text, and their finds are mapped back to the source.
 A find counts if it rests on a rewrite and reaches beyond the base spans it overlaps; base spans always stay beside it.
 
 Not caught: a plain "at" before a host with written dots only (name at host.com), and an address of plain words whose top-level
@@ -19,6 +19,9 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,11 +61,22 @@ _DIGIT = {word: digit for digit, words in SPELLED.items() for word in words.spli
 _NUMBER = "|".join(sorted(_DIGIT, key=len, reverse=True))
 _AT = r"(?:\s*[\[({<]\s*(?:at|arroba|arobase|@)\s*[\])}>]\s*|\s+(?:at|arroba|arobase)\s+)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|point|punto)\s+)"
-# an address with a disguised @: a plain "at" needs a disguised dot too, a bracketed one doesn't
-_ADDRESS = re.compile(rf"(?i)(?<![\w.%+-])[a-z0-9_%+-]+(?:(?:\.|{_DOT})[a-z0-9_%+-]+)*?(?P<at>{_AT}|@)[a-z0-9-]+(?:(?:\.|{_DOT})[a-z0-9-]+)+")
-_DOTS = re.compile(rf"(?i){_DOT}")
-_ATS = re.compile(rf"(?i){_AT}")
+# an address with a disguised @: a plain "at" needs a disguised dot too, a bracketed one doesn't. It is looked for from its "at" on,
+# to both sides, so that a long row of words and dots is walked along once
+_SIGN = re.compile(rf"(?i)(?<=[a-z0-9_%+-])(?:{_AT}|@)")
+_HOST = re.compile(rf"(?i)[a-z0-9-]++(?:(?:\.|{_DOT})[a-z0-9-]++)++")
+_NAME = re.compile(rf"(?i)[a-z0-9_%+-]++(?:(?:\.|{_DOT})[a-z0-9_%+-]++)*+")
+_NAME_PART = re.compile(r"(?i)(?<![\w.%+-])[a-z0-9_%+-]++")
+_DOTS = re.compile(rf"(?i)(?<!\s)(?:{_DOT})")
+_NAME_LETTERS = _LOCAL - {"."}
+#: A number of so many digits is none of the kinds.
+_NO_NUMBER = re.compile(r"[0-9]{40,}+")
 _CUES = re.compile(r"(?i)[\[({<]\s*(?:at|arroba|arobase|@|dot|punkt|point|punto|\.)\s*[\])}>]|\s(?:at|arroba|arobase)\s(?=.{0,80}\s(?:dot|punkt|point|punto)\s)|\s(?:dot|punkt|point|punto)\s")
+#: Four numbers with dots between them, and what disguises a dot there.
+_BETWEEN = rf"(?:{_DOT}|\s\.\s|\.)"
+_QUAD = re.compile(rf"(?i)(?<![\w.])[0-9]{{1,3}}(?:{_BETWEEN}[0-9]{{1,3}}){{3}}(?!\w|\.[0-9])")
+_QUAD_DOT = re.compile(rf"(?i)(?<=[0-9]){_BETWEEN}(?=[0-9])")
+_QUAD_CUE = re.compile(r"(?i)[0-9]\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)|[0-9]\s+(?:dot|punkt|point|punto)\s+[0-9]|[0-9]\s\.\s[0-9]")
 #: Four digits in a row of which at least two are words, with what stands between the parts of a number.
 _SPOKEN = re.compile(rf"(?i)(?<!\w)(?:(?:plus|\+)[\s-]*)?(?:(?:{_NUMBER}|[0-9])(?:[\s-]+(?:(?:dot|punkt|point|punto)[\s-]+)?|\.)?){{3,}}(?:{_NUMBER}|[0-9]+)(?!\w)")
 _SPOKEN_CUE = re.compile(rf"(?i)(?<!\w)(?:{_NUMBER})[\s.-]+(?:(?:dot|punkt|point|punto)[\s-]+)?(?:{_NUMBER}|[0-9])(?!\w)")
@@ -149,26 +163,58 @@ def _look_alikes(text: str) -> list[tuple[int, int, str]]:
     return sorted({*changes, *blanks})
 
 
+def _addresses(text: str) -> Iterator[tuple[int, int, int, int]]:
+    """(start, start and end of the at, end) of addresses, leftmost and without overlap."""
+    free, sign, names = 0, _SIGN.search(text), _NAME.finditer(text)
+    name = next(names, None)
+    while sign:
+        at, host = sign.span(), _HOST.match(text, sign.end())
+        if host:
+            while name and name.end() < at[0]:
+                name = next(names, None)
+            if name and name.start() < at[0] < name.end():
+                # the word before the "at" could be a dot between names; here it is the name
+                start = at[0]
+                while start > free and text[start - 1] in _NAME_LETTERS:
+                    start -= 1
+                part = _NAME_PART.match(text, start, at[0])
+            else:
+                part = name and name.end() == at[0] and _NAME_PART.search(text, max(free, name.start()), at[0])
+            if part:
+                yield part.start(), *at, host.end()
+                free = host.end()
+                names = _NAME.finditer(text, free)
+                name = next(names, None)
+        sign = _SIGN.search(text, max(free, at[0] + 1))
+
+
 def _at_and_dot(text: str) -> list[tuple[int, int, str]]:
     changes = []
-    for m in _ADDRESS.finditer(text):
-        dots = [(m.start() + x.start(), m.start() + x.end(), ".") for x in _DOTS.finditer(m[0])]
-        if m["at"] == "@" and not dots:
+    for start, at, after, end in _addresses(text):
+        whole, sign = text[start:end], text[at:after]
+        dots = [(start + x.start(), start + x.end(), ".") for x in _DOTS.finditer(whole)]
+        if sign == "@" and not dots:
             continue
-        bare = not re.search(r"[\[({<]", m[0])
-        if bare and (not dots or _DOTS.split(m[0].lower())[-1].rpartition(".")[2] not in TOP_LEVEL):
+        bare = not re.search(r"[\[({<]", whole)
+        if bare and (not dots or _DOTS.split(whole.lower())[-1].rpartition(".")[2] not in TOP_LEVEL):
             continue  # plain words are an address only under a usual top-level domain
-        if not dots and not re.search(r"[\[({<]", m["at"]):
+        if not dots and not re.search(r"[\[({<]", sign):
             continue
         changes += dots
-        if m["at"] != "@":
-            changes.append((*m.span("at"), "@"))
+        if sign != "@":
+            changes.append((at, after, "@"))
     return sorted(changes)
 
 
+def _dotted_numbers(text: str) -> list[tuple[int, int, str]]:
+    dots = ((m.start() + x.start(), m.start() + x.end(), x[0]) for m in _QUAD.finditer(text) for x in _QUAD_DOT.finditer(m[0]))
+    return [(a, b, ".") for a, b, dot in dots if dot != "."]
+
+
 def _spoken_numbers(text: str) -> list[tuple[int, int, str]]:
-    changes = []
-    for m in _SPOKEN.finditer(text):
+    changes, ends = [], [m.span() for m in _NO_NUMBER.finditer(text)]
+    bounds = zip([0, *(b for _, b in ends)], [*(a for a, _ in ends), len(text)], strict=True)
+    for m in (m for a, b in bounds for m in _SPOKEN.finditer(text, a, b)):
         if len(_SPOKEN_CUE.findall(m[0])) == 0:
             continue
         for x in _SPOKEN_PART.finditer(m[0]):
@@ -189,7 +235,7 @@ def normalise(text: str) -> Tape | None:
         if changes := _look_alikes(text):
             tape.rewrite(changes)
             changed = True
-    for cue, transducer in ((_CUES, _at_and_dot), (_SPOKEN_CUE, _spoken_numbers)):
+    for cue, transducer in ((_CUES, _at_and_dot), (_QUAD_CUE, _dotted_numbers), (_SPOKEN_CUE, _spoken_numbers)):
         if cue.search(tape.text) and (changes := transducer(tape.text)):
             tape.rewrite(changes)
             changed = True
@@ -205,13 +251,20 @@ def find_spans(text: str) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[
     base = detect(text)
     every = [(kind, *span) for kind in KINDS for span in base[kind]]
     if (tape := normalise(text)) is not None:
-        bases, added = [span for spans in base.values() for span in spans], []
+        bases = sorted(span for spans in base.values() for span in spans)
+        reach = list(accumulate((end for _, end in bases), max))
+        added: list[tuple[int, int]] = []  # sorted, and disjoint
         for kind, spans in detect(tape.text).items():
             for a, b in spans:
                 start, end = tape.starts[a], tape.ends[b - 1]
-                if text[start:end] != tape.text[a:b] and not any(s <= start and end <= e for s, e in bases) and not any(s < end and start < e for s, e in added):
-                    added.append((start, end))
-                    every.append((kind, start, end))
+                before = bisect_right(bases, (start, len(text))) - 1
+                if text[start:end] == tape.text[a:b] or (before >= 0 and reach[before] >= end):
+                    continue
+                place = bisect_right(added, (start, end))
+                if (place and added[place - 1][1] > start) or (place < len(added) and added[place][0] < end):
+                    continue
+                added.insert(place, (start, end))
+                every.append((kind, start, end))
     every.sort(key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
     return base, every
 

@@ -330,3 +330,50 @@ def test_packing(spark, vocabulary_file):
         assert end <= 64
     assert len(sequences) == plain_best_fit([w[3] for w in wanted], 64)
     assert packing.best_fit_packing(df.limit(0), path).count() == 0
+
+
+@pytest.mark.parametrize("part", ["a dot ", "a@b.co john (at) xy (dot) com ; ", "x at ", "[", "a [", "x (at) a dot ", "one ", "1", "1.", "1 . ", "1[", "1 dot ", "+1 "])
+def test_pii_takes_time_in_proportion(part):
+    import time
+
+    took = []
+    for size in (50_000, 200_000):
+        text = part * (size // len(part)) + "one two x"
+        began = time.perf_counter()
+        pii.find_spans(text)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 1 + 10 * took[0] and took[1] < 10
+
+
+def disguised(rng):
+    """(kind, text, source) of personal data in the disguises that the method is for."""
+    name, host = "".join(rng.choice("abcdefgh") for _ in range(6)), "".join(rng.choice("klmnop") for _ in range(5))
+    words = {"0": "zero", "1": "one", "2": "two", "3": "three", "4": "four", "5": "five", "6": "six", "7": "seven", "8": "eight", "9": "nine"}
+    dot, at = rng.choice([" dot ", " [dot] ", " (dot) ", "[.]"]), rng.choice([" at ", " [at] ", "(at)", " (AT) "])
+    if at == " at ":
+        dot = " dot "
+    yield "email", f"{name}{at}{host}{dot}com"
+    yield "email", f"{name}@{host}.com".replace("a", "а").replace("o", "о") if set("ao") & set(name + host) else f"{name}＠{host}.com"
+    ip = [str(rng.randint(1, 255)) for _ in range(4)]
+    yield "ip", rng.choice([" dot ", "[.]", " (dot) ", " . ", " point "]).join(ip) if rng.random() < 0.5 else " dot ".join(" ".join(words[d] for d in x) for x in ip)
+    yield "ip", ".".join(ip).translate({ord(d): chr(0xFF10 + int(d)) for d in "0123456789"})
+    body = "".join(rng.choice("0123456789") for _ in range(15))
+    card = next(body + d for d in "0123456789" if pii.luhn(body + d))
+    yield "card", " ".join(words[d] for d in card)
+    yield "card", "‑".join(card[i : i + 4] for i in range(0, 16, 4))
+    phone = "".join(rng.choice("0123456789") for _ in range(10))
+    yield "phone", "plus " + " ".join(words[d] for d in "49" + phone)
+    yield "phone", "＋49\u00a0" + phone[:3] + "\u00a0" + phone[3:]
+
+
+def test_pii_recall_of_disguises():
+    rng = random.Random(6)
+    hits, every = {}, {}
+    for _ in range(150):
+        for kind, source in disguised(rng):
+            text = f"Reach us, {source}, any day."
+            at = text.index(source)
+            every[kind] = every.get(kind, 0) + 1
+            hits[kind] = hits.get(kind, 0) + ((kind, at, at + len(source)) in pii.find_spans(text)[1])
+    recall = {kind: hits[kind] / n for kind, n in every.items()}
+    assert min(recall.values()) >= 0.9, recall

@@ -184,6 +184,11 @@ def _joined(cuts: DataFrame, phrases: DataFrame, part: str, count: str, total: i
     return join_groups(cuts, groups, ["_lang", part], "_size", total, F.col("phrase")).drop("_size")
 
 
+def score():
+    """Of the columns a, l and r; exact beyond 64 bits, and at most 1000000 as l and r are at least a."""
+    return F.expr("cast(2000000 as decimal(7, 0)) * cast(a as decimal(19, 0)) div (cast(l as decimal(19, 0)) + cast(r as decimal(19, 0)))")
+
+
 def collocations(docs: DataFrame, max_n: int = 4, least: int = 30, covered: int = 80, top: int = 2000, lang: str = "lang", text: str = "text") -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the `top` phrases of 2 to max_n words of each language.
 
@@ -206,8 +211,7 @@ def collocations(docs: DataFrame, max_n: int = 4, least: int = 30, covered: int
     cuts = staged(cuts, "colloc-cuts")
     total = cuts.count()
     scored = _joined(_joined(cuts, phrases, "_head", "l", total), phrases, "_tail", "r", total)
-    score = F.expr("cast(2000000 as decimal(7, 0)) * cast(a as decimal(19, 0)) div (cast(l as decimal(19, 0)) + cast(r as decimal(19, 0)))")
-    lowest = F.min(F.struct(score.alias("score"), "k", "l", "r"))
+    lowest = F.min(F.struct(score().alias("score"), "k", "l", "r"))
     scored = scored.groupBy("_lang", "phrase", "a").agg(lowest.alias("_cut"))
 
     longer = candidates.where("size >= 3").select("_lang", "a", F.explode(F.array(F.expr("substring_index(phrase, ' ', size - 1)"), F.expr("substring_index(phrase, ' ', 1 - size)"))).alias("phrase"))

@@ -1,0 +1,146 @@
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from spanloom.llm import collocations, ranked_search
+
+from .conftest import ODD, documents
+
+A_TO_Z = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+# ---- phrase collocations
+
+
+def plain_collocations(rows, max_n, least, covered, top):
+    """rows: (language, text)."""
+    counts = defaultdict(Counter)
+    for lang, text in rows:
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", (text or "").translate(A_TO_Z)):
+            found = re.findall("[^ \t]+", piece)
+            for size in range(1, max_n + 1):
+                counts["und" if lang is None else lang].update(tuple(found[i : i + size]) for i in range(len(found) - size + 1))
+    out = []
+    for lang, f in counts.items():
+        candidates = {p for p, a in f.items() if len(p) > 1 and a >= least}
+        scored = []
+        for p in candidates:
+            inside = (q for q in candidates if len(q) > len(p) and 100 * f[q] >= covered * f[p] and any(q[i : i + len(p)] == p for i in range(len(q))))
+            if not any(inside):
+                score, k = min((2000000 * f[p] // (f[p[:k]] + f[p[k:]]), k) for k in range(1, len(p)))
+                scored.append((-score, -f[p], " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        n = sum(c for p, c in f.items() if len(p) == 1)
+        out += [(lang, i, p.decode(), -a, l, r, n, -score) for i, (score, a, p, l, r) in enumerate(sorted(scored)[:top], 1)]
+    return sorted(out)
+
+
+def phrase_rows(rng, n=250):
+    vocabulary = ["a", "b", "C", "c", "new", "york", "city", "é", "日本", "x\x00", "\x1c", "of", "the", "q" * 300]
+    passage = "the new york city of é"
+    make = lambda: "".join(rng.choice(vocabulary) + rng.choice([" ", " ", " ", "  ", "\t", ", ", ".", "\r\n"]) for _ in range(rng.randint(0, 40)))
+    langs = ["en", "en", "fr", None, "und", ""]
+    return [(rng.choice(langs), rng.choice([make(), make() + passage, passage, None, ""])) for _ in range(n)] + [("en", t) for t in ODD]
+
+
+@pytest.mark.parametrize(("max_n", "least", "top", "bits"), [(4, 3, 2000, 29), (4, 3, 7, 12), (2, 5, 50, 29), (5, 2, 2000, 29)])
+def test_collocations(spark, monkeypatch, max_n, least, top, bits):
+    monkeypatch.setattr(collocations, "MOST_BITS", bits)  # a filter that is too small lets more through, and nothing else
+    monkeypatch.setattr(collocations, "RANKED_AT_ONCE", 20)
+    rows = phrase_rows(random.Random(max_n))
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(3).withColumn("a", F.lit("clash")).withColumn("phrase", F.lit(1))
+    got = sorted(tuple(r) for r in collocations.collocations(df, max_n, least, 80, top).collect())
+    assert got == plain_collocations(rows, max_n, least, 80, top)
+
+
+def test_collocations_of_long_texts(spark, monkeypatch):
+    from spanloom.llm import byte_words
+
+    monkeypatch.setattr(byte_words, "ROWS_OUT", 5)
+    rows = [("en", "one two three " * 30_000), ("en", "z" * 300_000), ("en", "z" * 300_000 + " one")]
+    got = sorted(tuple(r) for r in collocations.collocations(spark.createDataFrame(rows, "lang string, text string"), least=2).collect())
+    assert got == plain_collocations(rows, 4, 2, 80, 2000)
+
+
+def test_collocations_of_nothing(spark):
+    empty = spark.createDataFrame([], "lang string, text string")
+    assert collocations.collocations(empty).collect() == []
+    assert collocations.collocations(spark.createDataFrame([("en", None), (None, "")], empty.schema)).collect() == []
+
+
+def test_scores_beyond_64_bits(spark):
+    big = 9_000_000_000_000_000_000
+    df = spark.createDataFrame([(big, big, big)], "a long, l long, r long")
+    assert df.select(collocations.score().alias("s")).first().s == 1_000_000
+
+
+# ---- ranked search
+
+
+def plain_search(docs, items, k):
+    """docs: (id, text), items: (id, text)."""
+    terms_of = lambda text: re.findall("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (text or "").translate(A_TO_Z))
+    held = [(i, Counter(found), len(found)) for i, text in docs if (found := terms_of(text))]
+    total, length = len(held), sum(n for _, _, n in held)
+    df = Counter(t for _, tf, _ in held for t in tf)
+    asked = defaultdict(set)
+    for i, text in items:
+        asked[i].update(terms_of(text))
+    out = []
+    for item, terms in asked.items():
+        scores = []
+        for i, tf, n in held:
+            m = 50 + 50 * n * total // length
+            score = sum(math.floor(1000 * math.log((2 * total + 2) / (2 * df[t] + 1))) * (1000000000 * tf[t] // (1000 * tf[t] + 20 * m)) for t in terms if t in tf)
+            if score:
+                scores.append((-score, (i is not None, i), i))
+        out += [(item, rank, i, -score) for rank, (score, _, i) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(out, key=repr)
+
+
+def search_rows(rng, n=400):
+    vocabulary = [f"w{int(rng.paretovariate(0.4))}" for _ in range(300)] + ["Die", "die", "été", "日本", "a_b", "x-y"]
+    make = lambda size: " ".join(rng.choice(vocabulary) for _ in range(size))
+    docs = [(i, make(rng.randint(0, 60))) for i in range(n)]
+    docs += [(n + i, docs[7][1]) for i in range(90)]  # ties beyond k
+    docs += [(2 * n + i, t) for i, t in enumerate(ODD)] + [(3, "été w1 " * 4000), (None, make(30)), (None, None), (5, docs[5][1])]
+    return docs, [(i, make(rng.randint(1, 30))) for i in range(25)] + [(90, docs[7][1]), (91, None), (92, "...."), (93, "unheard"), (94, "w1"), (94, "smile")]
+
+
+@pytest.mark.parametrize(("k", "block", "cells"), [(50, 100_000, 2_000_000), (3, 60, 500), (1000, 100_000, 2_000_000)])
+def test_ranked_search(spark, monkeypatch, k, block, cells):
+    monkeypatch.setattr(ranked_search, "BLOCK", block)
+    monkeypatch.setattr(ranked_search, "CELLS", cells)
+    docs, items = search_rows(random.Random(k))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5).withColumn("n", F.lit("clash")).withColumn("score", F.lit(0))
+    asked = spark.createDataFrame(items, "item_id long, text string").withColumn("phrase", F.lit(2))
+    got = sorted((tuple(r) for r in ranked_search.ranked_search(df, asked, k).collect()), key=repr)
+    assert got == plain_search(docs, items, k)
+
+
+def test_ids_that_are_strings(spark):
+    docs, items = search_rows(random.Random(2), 60)
+    docs, items = [(None if i is None else f"d{i}", t) for i, t in docs], [(f"i{i}", t) for i, t in items]
+    got = ranked_search.ranked_search(spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame(items, "item_id string, text string"), 10)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == plain_search(docs, items, 10)
+
+
+def test_pruned_terms(spark):
+    """A frequent term finds no candidates, yet counts in their scores."""
+    docs = [(i, "common " + ("rare words here" if i < 60 else "other text")) for i in range(900)]
+    items = spark.createDataFrame([(1, "common rare words here")], "item_id long, text string")
+    terms = ranked_search.item_terms(items)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    index = ranked_search.document_index(df, ranked_search.phrase_filter(terms.select(F.lit("").alias("_lang"), "phrase")))
+    length = index.agg(F.sum("n")).first()[0]
+    assert {r.phrase: r._finds for r in ranked_search.seeded(terms, ranked_search.term_table(index, 900, length, 50)).collect()}["common"] is False
+    assert sorted((tuple(r) for r in ranked_search.ranked_search(df, items).collect()), key=repr) == plain_search(docs, [(1, "common rare words here")], 50)
+
+
+def test_search_of_nothing(spark):
+    docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a")], "item_id long, text string")
+    assert ranked_search.ranked_search(docs, items).collect() == []
+    assert ranked_search.ranked_search(documents(spark, ["a b"]), items.limit(0)).collect() == []
+    assert ranked_search.ranked_search(documents(spark, [None, "", "-"]), items).collect() == []

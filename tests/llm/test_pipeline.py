@@ -75,3 +75,14 @@ def test_repeated_rows_and_empty_tables(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0
+
+
+def test_near_copies_where_ids_repeat(spark):
+    rng = random.Random(4)
+    make = lambda: [f"w{rng.randint(0, 10**6)}" for _ in range(60)]
+    base, other, third = make(), make(), make()
+    copy = lambda words, i: " ".join([*words[:i], "changed", *words[i + 1 :]])
+    rows = [(1, " ".join(base)), (2, copy(base, 5)), (2, " ".join(other)), (3, copy(other, 7)), (None, copy(base, 9)), (None, " ".join(third)), (4, None), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near(spark, docs, "").collect()), key=repr)
+    assert kept == sorted([(1, " ".join(base)), (2, " ".join(other)), (None, " ".join(third)), (4, None), (4, None), (5, "")], key=repr)

@@ -37,11 +37,22 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies.
 
-    Null and empty texts are linked with nothing and stay, as do documents without an id; an empty table stays empty; documents
-    that share an id stay or go together, by what their texts are linked with.
+    Null and empty texts are linked with nothing and stay; an empty table stays empty. Rows that repeat id and text are one document.
+    Where ids repeat or are null, documents are told apart by id and text, a null id comes last, and of a group's smallest id the text
+    with the least hash stays.
     """
-    gone = ngram_join.ngram_jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(common.sent_if_few(gone, "pipeline-near"), "doc_id", "left_anti").select(*docs.columns)
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        gone = ngram_join.ngram_jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
+        return docs.join(common.sent_if_few(gone, "pipeline-near"), "doc_id", "left_anti").select(*docs.columns)
+    own = F.sha2(F.encode(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(","), common.text_or_empty("text")), "UTF-8"), 256)
+    keyed = docs.withColumn("_near", own)
+    found = ngram_join.ngram_jaccard_components(keyed, id_col="_near").select("_near", "component_id").distinct()
+    found = common.staged(found.join(keyed.select("_near", "doc_id").distinct(), "_near"), "pipeline-members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("_near").alias("least")))
+    groups = found.groupBy("component_id").agg(F.count("*").alias("_size"), first.alias("_first"))
+    members = common.join_groups(found, groups, ["component_id"], "_size", found.count(), F.col("_near"))
+    gone = members.where("_near <> _first.least").select("_near")
+    return keyed.join(common.sent_if_few(gone, "pipeline-near"), "_near", "left_anti").select(*docs.columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ def parse(arguments: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("out")
     parser.add_argument("--recordings", help="folder or pattern of WAV files of the same names")
     parser.add_argument("--overrides", help="JSON lines of spans set by hand")
+    parser.add_argument("--files", action="store_true", help="manifests and reports as a file a document too")
     parser.add_argument("-c", "--config", help="YAML file")
     parser.add_argument("--tempo", type=float)
     parser.add_argument("--repeats", type=int, help="has no effect while dynamic repetitions are on")
@@ -35,6 +36,9 @@ def run(spark: SparkSession, options: argparse.Namespace) -> None:
     overrides = readers.read_overrides(spark, options.overrides) if options.overrides else None
     made = build(readers.read_texts(spark, options.texts), readers.read_words(spark, options.words), own, overrides=overrides, recordings=recordings)
     writers.write_manifests(made.manifests, made.reports, options.out)
+    if options.files:
+        writers.write_documents(made.manifests, "manifest", f"{options.out}/manifest_files")
+        writers.write_documents(made.reports, "report", f"{options.out}/report_files")
     writers.write_summaries(made.summaries, f"{options.out}/summaries")
     if made.sounds is not None:
         writers.write_sounds(made.sounds, f"{options.out}/sounds")

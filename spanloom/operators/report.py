@@ -84,11 +84,45 @@ def summary(totals: DataFrame) -> DataFrame:
     return totals.select("doc_id", F.concat(F.lit("aligned "), F.col("aligned").cast("string"), F.lit(" of "), F.col("num_sentences").cast("string"), F.lit(" ("), share, F.lit("%), failed "), F.col("unaligned").cast("string"), F.lit(", warnings "), F.col("warnings").cast("string")).alias("summary"))
 
 
-def issues(details: DataFrame) -> DataFrame:
-    """(doc_id, idx, line): a line for each detail, with 60 characters of its text."""
+def issues(details: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, idx, line), and more columns of details: a line for each detail, with 60 characters of its text."""
     preview = F.concat(F.substring("text", 1, 60), F.when(F.length("text") > 60, "...").otherwise(""))
     line = F.format_string("[%d] %s (score: %.2f, method: %s) - %s", "idx", "status", F.coalesce("score", F.lit(0.0)), F.coalesce("method", F.lit("unknown")), preview)
-    return details.select("doc_id", "idx", line.alias("line"))
+    return details.select("doc_id", "idx", line.alias("line"), *more)
+
+
+def summary_text(totals: DataFrame, details: DataFrame) -> DataFrame:
+    """(doc_id, summary): the published summary of several lines: counts, methods, and a line for each detail.
+
+    A document without sentences has 0.0%; details are in the order of their aligner, then their sentence.
+    """
+    share = F.when(F.col("num_sentences") > 0, F.col("aligned") * 100.0 / F.col("num_sentences")).otherwise(0.0)
+    ordered = issues(details, "ord").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "idx", "line"))).alias("found"))
+    listed = F.array_join(F.transform("found", lambda d: F.concat(F.lit("\n  "), d["line"])), "")
+    head = F.format_string(
+        "Alignment Summary:\n  Total sentences: %d\n  Successfully aligned: %d (%s%%)\n  Failed to align: %d\n  Warnings: %d\n\nAlignment Methods:\n  External: %d\n  Fuzzy matching: %d",
+        "num_sentences", "aligned", F.format_string("%.1f", F.round(share, 1)), "unaligned", "warnings", "external", "fuzzy",
+    )
+    both = totals.join(ordered, "doc_id", "left")
+    return both.select("doc_id", F.when(F.size("found") > 0, F.concat(head, F.lit("\n\nIssues:"), listed)).otherwise(head).alias("summary"))
+
+
+def results(spans: DataFrame, reported: DataFrame) -> DataFrame:
+    """(doc_id, result): sentences with their spans, null where there is none, in order, and the report of reports()."""
+    span = F.when(F.col("start_ms").isNotNull(), F.struct(F.col("start_ms").alias("start"), F.col("end_ms").alias("end"))).alias("span_ms")
+    lists = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "text", span))).alias("sentences"))
+    return lists.join(reported, "doc_id", "left").select("doc_id", F.struct("sentences", "report").alias("result"))
+
+
+def comparison(methods: dict[str, tuple[DataFrame, DataFrame, float]]) -> DataFrame:
+    """(doc_id, comparison): per method its duration, report and spans, and the sentences once; methods are (spans, reports(), seconds) of the same documents."""
+    out, columns = None, []
+    for name, (spans, reported, seconds) in methods.items():
+        found = results(spans, reported).withColumnRenamed("result", name)
+        out = found if out is None else out.join(found, "doc_id", "full")
+        columns.append(F.struct(F.lit(float(seconds)).alias("duration_seconds"), F.col(f"{name}.report"), F.col(f"{name}.sentences.span_ms").alias("spans")).alias(name))
+    texts = F.coalesce(*(F.col(f"{name}.sentences.text") for name in methods))
+    return out.select("doc_id", F.struct(*columns, texts.alias("sentences")).alias("comparison"))
 
 
 def success_rate(totals: DataFrame) -> DataFrame:

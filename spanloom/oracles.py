@@ -152,6 +152,11 @@ SELECT doc_id, idx, rep, block_start + (rep - 1) * (clip_ms + 10000) AS read_sta
     "report_counts": f"WITH {DOCS}, {SPANS}, {COUNTS} SELECT * FROM counts",
     "summary_line": f"WITH {DOCS}, {SPANS}, {COUNTS} SELECT doc_id, 'aligned ' || aligned || ' of ' || num_sentences || ' (' || printf('%.1f', round(aligned * 100.0::DOUBLE / num_sentences, 1)) || '%), failed ' || unaligned || ', warnings ' || warnings AS summary FROM counts",
     "success_rate": f"WITH {DOCS}, {SPANS}, {COUNTS} SELECT CAST(sum(aligned) AS BIGINT) AS aligned, CAST(sum(num_sentences) AS BIGINT) AS sentences, CAST(sum(aligned) AS BIGINT) * 100.0::DOUBLE / CAST(sum(num_sentences) AS BIGINT) AS rate FROM counts",
+    "summary_text": f"""WITH {DOCS}, {SPANS}, {COUNTS}, d AS (SELECT doc_id, idx, left(text, 120) AS text, status, score FROM spans WHERE status <> 'ok'),
+i AS (SELECT doc_id, string_agg(chr(10) || '  [' || idx || '] ' || status || ' (score: ' || printf('%.2f', score) || ', method: fuzzy) - ' || left(text, 60) || CASE WHEN length(text) > 60 THEN '...' ELSE '' END, '' ORDER BY idx) AS lines FROM d GROUP BY doc_id)
+SELECT counts.doc_id, 'Alignment Summary:' || chr(10) || '  Total sentences: ' || num_sentences || chr(10) || '  Successfully aligned: ' || aligned || ' (' || printf('%.1f', round(aligned * 100.0::DOUBLE / num_sentences, 1)) || '%)' || chr(10)
+  || '  Failed to align: ' || unaligned || chr(10) || '  Warnings: ' || warnings || chr(10) || chr(10) || 'Alignment Methods:' || chr(10) || '  External: ' || external || chr(10) || '  Fuzzy matching: ' || fuzzy
+  || coalesce(chr(10) || chr(10) || 'Issues:' || lines, '') AS summary FROM counts LEFT JOIN i ON i.doc_id = counts.doc_id""",
     "issue_lines": f"""WITH {DOCS}, {SPANS}, d AS (SELECT doc_id, idx, left(text, 120) AS text, status, score FROM spans WHERE status <> 'ok')
 SELECT doc_id, idx, printf('[%d] %s (score: %.2f, method: %s) - %s', idx, status, score, 'fuzzy', left(text, 60) || CASE WHEN length(text) > 60 THEN '...' ELSE '' END) AS line FROM d""",
     "avg_quality": f"WITH {DOCS}, {SPANS} SELECT doc_id, round(avg(CASE WHEN status = 'ok' THEN 1.0::DOUBLE ELSE score END), 9) AS avg_score, count(start_ms) AS processed FROM spans GROUP BY doc_id",

@@ -54,4 +54,4 @@ def build(texts: DataFrame, transcripts: DataFrame, config: Config = Config(), p
     totals = report.counts(spans, details)
     rows = report.manifest_rows(spans, details, blocks, reads, config)
     sounds = audio.render(recordings.select("doc_id", "content"), blocks, config) if recordings is not None else None
-    return Build(spans, details, blocks, reads, report.manifests(rows, blocks, config), report.reports(totals, details), report.summary(totals), compare.review_queue(spans, details), inputs, sounds)
+    return Build(spans, details, blocks, reads, report.manifests(rows, blocks, config), report.reports(totals, details), report.summary_text(totals, details), compare.review_queue(spans, details), inputs, sounds)

@@ -268,6 +268,12 @@ def summary_line(spark, sf_dir):
     return report.summary(_counts(spark, sf_dir))
 
 
+def summary_text(spark, sf_dir):
+    spans = derived_spans(documents(spark, sf_dir))
+    details = merge.details(spans, "fuzzy")
+    return report.summary_text(report.counts(spans, details), details)
+
+
 def success_rate(spark, sf_dir):
     return report.success_rate(_counts(spark, sf_dir))
 
@@ -352,7 +358,7 @@ QUERIES = {
         strip_quotes, normalize_text, tokenize_docs, sentence_split, learned_splitter, trained_sentences, token_freq, token_idf, distinct_vocab, anchors_top3, token_weight, unit_normalize,
         number_equiv_digits, indel_ratio_pairs, fuzzy_vocab_join, ngrams, compound_matches, word_timeline, band_candidates, anchor_ranges, align_fuzzy, align_fallback, align_segments,
         align_external, hybrid_build, hybrid_merge, manual_override, aligned_renumber, repeat_rule, repeat_histogram, block_ends, read_offsets,
-        report_details, report_counts, summary_line, success_rate, issue_lines, avg_quality, manifest_rows, manifest_offsets, compare_methods,
+        report_details, report_counts, summary_line, summary_text, success_rate, issue_lines, avg_quality, manifest_rows, manifest_offsets, compare_methods,
         review_queue, time_format, time_parse, file_names, transcript_explode, words_envelope, silence_blocks,
     )
 }

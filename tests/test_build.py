@@ -5,7 +5,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from spanloom.operators import audio, compare, external, merge, schedule, words
+from spanloom.operators import audio, compare, external, merge, report, schedule, words
 from spanloom.plans import config
 from spanloom.plans.build import build
 from spanloom.sources import readers, writers
@@ -181,3 +181,26 @@ def test_vocabulary_matches(spark):
 def test_external_bounds():
     assert [external.valid_reply(*r) for r in [(0, 5, 0.9), (9, 5, 0.5), (-1, 5, 0.9), (0, 5, 1.5)]] == [True, True, False, False]
     assert '"text":"a"' in external.prompt("A.", [{"text": "a", "start": 0, "end": 1}])
+
+
+def test_results_and_comparison(spark):
+    a = spans_of(spark, [(1, 2, "y", None, None, "failed", 0.0, "no", None), (1, 1, "x", 0, 100, "ok", 0.9, "", "fuzzy")])
+    b = spans_of(spark, [(1, 1, "x", 5, 105, "ok", 0.9, "", "external"), (1, 2, "y", 200, 300, "ok", 0.9, "", "external")])
+    reported = lambda spans: report.reports(report.counts(spans, merge.details(spans, "fuzzy")), merge.details(spans, "fuzzy"))
+    made = report.comparison({"fuzzy_matching": (a, reported(a), 1.5), "external_alignment": (b, reported(b), 2)})
+    got = json.loads(made.select(F.to_json("comparison", {"ignoreNullFields": "false"})).first()[0])
+    assert got["sentences"] == ["x", "y"] and got["fuzzy_matching"]["spans"] == [{"start": 0, "end": 100}, None] and got["fuzzy_matching"]["duration_seconds"] == 1.5
+    assert got["external_alignment"]["spans"][1] == {"start": 200, "end": 300} and got["fuzzy_matching"]["report"]["global"]["unaligned"] == 1
+    one = json.loads(report.results(a, reported(a)).select(F.to_json("result", {"ignoreNullFields": "false"})).first()[0])
+    assert one["sentences"] == [{"idx": 1, "text": "x", "span_ms": {"start": 0, "end": 100}}, {"idx": 2, "text": "y", "span_ms": None}] and one["report"]["details"][0]["status"] == "failed"
+
+
+def test_summary_text(spark):
+    a = spans_of(spark, [(1, 1, "x" * 70, 0, 100, "warning", 0.8, "", "fuzzy"), (1, 2, "y", None, None, "failed", None, "no", None), (2, 1, "z", 0, 9, "ok", 0.9, "", "fuzzy")])
+    details = merge.details(a, "fuzzy")
+    got = {r.doc_id: r.summary for r in report.summary_text(report.counts(a, details), details).collect()}
+    assert got[1] == (
+        "Alignment Summary:\n  Total sentences: 2\n  Successfully aligned: 1 (50.0%)\n  Failed to align: 1\n  Warnings: 1\n\nAlignment Methods:\n  External: 0\n  Fuzzy matching: 1"
+        f"\n\nIssues:\n  [1] warning (score: 0.80, method: fuzzy) - {'x' * 60}...\n  [2] failed (score: 0.00, method: fuzzy) - y"
+    )
+    assert "Issues" not in got[2]

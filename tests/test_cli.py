@@ -5,7 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from spanloom.__main__ import parse, run
-from spanloom.operators.audio import silence, wav_bytes
+from spanloom.operators.audio import silence, wav_bytes, wav_info
 from spanloom.sources import readers, speech
 
 
@@ -17,10 +17,13 @@ def test_files_to_files(spark, tmp_path):
     (tmp_path / "w/a.json").write_text(json.dumps({"audio_id": "a", "words": words}))
     (tmp_path / "r/a.wav").write_bytes(wav_bytes([silence(2000, 8000)], 8000))
     (tmp_path / "c.yaml").write_text("pause_ms: 100\ninter_sentence_pause_ms: 100\nalignment: {method: fuzzy, min_accept: 0.82, warn_accept: 0.75}\n")
-    run(spark, parse([str(tmp_path / "t"), str(tmp_path / "w"), str(tmp_path / "out"), "--recordings", str(tmp_path / "r"), "-c", str(tmp_path / "c.yaml"), "--tempo", "1.0"]))
+    run(spark, parse([str(tmp_path / "t"), str(tmp_path / "w"), str(tmp_path / "out"), "--recordings", str(tmp_path / "r"), "-c", str(tmp_path / "c.yaml"), "--tempo", "1.0", "--files"]))
     assert rows(readers.aligned_in_manifests(spark, str(tmp_path / "out/manifests"))) == [("a", 1, 1)]
-    assert spark.read.text(str(tmp_path / "out/summaries")).first()[0] == "aligned 1 of 1 (100.0%), failed 0, warnings 0"
-    assert spark.read.parquet(str(tmp_path / "out/sounds")).count() == 1
+    one = lambda pattern: next(iter(tmp_path.glob(f"out/{pattern}")))
+    assert one("summaries/*/a.txt").read_text().startswith("Alignment Summary:\n  Total sentences: 1\n  Successfully aligned: 1 (100.0%)")
+    assert wav_info(one("sounds/*/a.wav").read_bytes())[1:] == (44100, 1)
+    assert json.loads(one("manifest_files/*/a.json").read_text())["sentences"][0]["idx"] == 1
+    assert json.loads(one("report_files/*/a.json").read_text())["global"]["aligned"] == 1
 
 
 def test_the_configured_method_counts(spark, tmp_path):

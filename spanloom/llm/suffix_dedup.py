@@ -1,7 +1,7 @@
-"""Removal of long repeated byte strings by distributed prefix doubling over a sparse suffix array.
+"""Removal of long repeated byte strings by one distributed sort of a sparse suffix array.
 
-Ranks are fingerprints: the rank of the 2h bytes at a position is made from the pair of ranks at the position
-and h bytes on, doubling up to RANK bytes. Only anchors take part in the distributed sort: in every window of
+Doubling is done within a task: the rank of the 2h bytes at a position is a fingerprint of the pair of ranks at the position
+and h bytes on, up to RANK bytes. It has no rounds in Spark that sort pairs of position and rank at growing offsets. Only anchors take part in the distributed sort: in every window of
 `length` bytes the leftmost position of least rank, so equal windows choose equal anchors, and each anchor
 answers for an unbroken run of windows. The rounds rerank at growing reach and drop what is settled:
 

@@ -75,10 +75,26 @@ def ngrams(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def derived_words(docs: DataFrame, id_col: str = "doc_id", text: str = "text", per_letter: int = 60, gap: int = 40) -> DataFrame:
-    """(id, pos, word, start_ms, end_ms): a time line from the text alone, for texts without a recording. Texts are shuffled, not their words."""
-    rows = explode_tokens(docs.select(id_col, text).repartition(id_col), id_col, text).withColumn("took", (F.length("token") * per_letter + gap).cast("long"))
-    end = F.sum("took").over(Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select(id_col, "pos", F.col("token").alias("word"), (end - F.col("took")).alias("start_ms"), end.alias("end_ms"))
+    """(id, pos, word, start_ms, end_ms): a time line from the text alone, for texts without a recording. Rows are one text each, dealt out once; no word is shuffled or sorted."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def run(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, 200):
+                part = batch.slice(first, 200)
+                listed = part.column(1).flatten()
+                sizes = pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False)
+                took = pc.utf8_length(listed).to_numpy(zero_copy_only=False).astype(np.int64) * per_letter + gap
+                ends, before = np.cumsum(took), np.cumsum(sizes) - sizes
+                ends -= np.repeat(np.concatenate([[0], ends])[before], sizes)
+                pos = np.arange(len(took)) - np.repeat(before, sizes)
+                ids = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), sizes)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(pos.astype(np.int32)), listed, pa.array(ends - took), pa.array(ends)], names=[id_col, "pos", "word", "start_ms", "end_ms"])
+
+    rows = docs.select(id_col, text).repartition(id_col).select(id_col, tokens(F.col(text)).alias("_tokens"))
+    return rows.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, pos int, word string, start_ms long, end_ms long")
 
 
 def band_candidates(sentences: DataFrame, words: DataFrame, id_col: str, gap: int = 10) -> DataFrame:

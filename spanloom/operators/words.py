@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
+from heapq import nlargest
+from itertools import groupby
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import NEVER_ANCHORS, explode_tokens, nfkc, normalize, tokens
-from .sentences import explode_sentences
+from .sentences import split_sentences
+
+
+_NEVER = frozenset(NEVER_ANCHORS)
 
 
 def explode_words(transcripts: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -21,50 +29,84 @@ def token_frequency(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
 
 def token_idf(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, token, idf) with idf = 1 / (1 + share of the token in its document). One shuffle, by document."""
-    n = token_frequency(docs.repartition(id_col), id_col, text)
-    total = F.sum("n").over(Window.partitionBy(id_col))
-    return n.select(id_col, "token", (F.lit(1.0) / (F.lit(1.0) + F.col("n") / total)).alias("idf"))
+    """(id, token, idf) with idf = 1 / (1 + share of the token in its document). One shuffle, of texts by id; a task counts one document at a time."""
 
+    def count(texts):
+        n = Counter(t for (tokens_of,) in texts for t in tokens_of)
+        every = sum(n.values())
+        return [(t, 1.0 / (1.0 + k / every)) for t, k in n.items()]
 
-def sentence_tokens(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, idx, tokens, n, start): each sentence's tokens, how many they are, and how many of its text stand before them.
+    return _map_documents(docs.select(id_col, text), id_col, [tokens(F.col(text)).alias("_tokens")], "token string, idf double", count)
 
-    Texts are shuffled once, by id; all that follows by id stays in place.
-    """
-    sentences = explode_sentences(docs.select(id_col, text).repartition(id_col), id_col, text)
-    rows = sentences.select(id_col, "idx", tokens(F.col("sentence")).alias("tokens")).withColumn("n", F.size("tokens"))
-    before = F.sum("n").over(Window.partitionBy(id_col).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    return rows.withColumn("start", before.cast("int"))
 
+def _map_documents(docs: DataFrame, id_col: str, columns: list, schema: str, work) -> DataFrame:
+    """(id, columns of schema): the rows that work() gives for each id's list of tuples of columns, a tuple a text. Texts are shuffled and sorted by id; a task
+    holds one id's values and one Arrow batch."""
+    import pyarrow as pa
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    ordered = docs.repartition(id_col).sortWithinPartitions(id_col).select(id_col, *columns)
+
+    def run(batches):
+        # the types of ids and of results, from what comes in and from the schema's few names
+        types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+        fields = [f.strip().split(" ") for f in schema.split(",")]
+        out, id_type = [[] for _ in range(len(fields) + 1)], None
+
+        def made():
+            full = pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip(out, [id_type, *(types[t] for _, t in fields)], strict=True)], names=[id_col, *(n for n, _ in fields)])
+            for v in out:
+                v.clear()
+            return full
+
+        def texts():
+            nonlocal id_type
+            for batch in batches:
+                id_type = batch.column(0).type
+                for i in range(batch.num_rows):
+                    yield tuple(c[i].as_py() for c in batch.columns)
+
+        for doc, rows in groupby(texts(), key=lambda r: r[0]):
+            for r in work([r[1:] for r in rows]):
+                for v, x in zip(out, (doc, *r), strict=True):
+                    v.append(x)
+            if len(out[0]) >= 20_000:
+                yield made()
+        if out[0]:
+            yield made()
+
+    return ordered.mapInArrow(run, f"`{id_col}` {kind}, {schema}")
 
-def _may_anchor(token: str):
-    return ~F.lower(token).isin(NEVER_ANCHORS) & (F.col(token).rlike(r"^\p{Nd}") | (F.length(token) >= 5))
 
+def _sentence_tokens(text: str):
+    return F.transform(split_sentences(F.col(text)), tokens).alias("_sentences")
 
-def _groups(*columns: str):
-    """A window over groups of equal columns, led by a hash of them: the sort compares it in place and the columns only where it is equal."""
-    return Window.partitionBy(F.xxhash64(*columns), *columns)
 
+def _may_anchor(token: str) -> bool:
+    return (token[0].isdecimal() or len(token) >= 5) and token.lower() not in _NEVER
 
-def _anchors(sentences: DataFrame, id_col: str, most: int) -> DataFrame:
-    """anchors() of sentence_tokens(), with their other columns."""
-    # outer, as the filter that is inferred for a plain one would take sentences apart a second time
-    rows = sentences.select(*(c for c in sentences.columns if c != "tokens"), F.posexplode_outer("tokens").alias("pos", "token")).where("token is not null")
-    share = F.count("*").over(_groups(id_col, "token")) / F.count("*").over(Window.partitionBy(id_col))
-    idf = F.lit(1.0) / (F.lit(1.0) + share)
-    scored = rows.withColumn("score", F.when(F.col("token").rlike(r"^\p{Nd}"), idf + 1.0).otherwise(idf))
-    best = _groups(id_col, "idx").orderBy(F.desc("score"), F.desc("pos"), F.desc("token"))
-    return scored.where(_may_anchor("token")).withColumn("place", F.row_number().over(best)).where(F.col("place") <= most).drop("place")
+
+def _anchors(texts: list[list[list[str]]], most: int) -> dict[int, list[tuple[float, int, str]]]:
+    """By idx from 1 the (score, pos, token) of anchors(), best first, of one id's texts as lists of sentences as lists of tokens."""
+    n = Counter(t for sentences in texts for s in sentences for t in s)
+    every, found = sum(n.values()), {}
+    for sentences in texts:
+        for idx, s in enumerate(sentences, start=1):
+            found.setdefault(idx, []).extend((1.0 / (1.0 + n[t] / every) + t[0].isdecimal(), pos, t) for pos, t in enumerate(s) if _may_anchor(t))
+    return {idx: nlargest(most, rows) for idx, rows in found.items()}
 
 
 def anchors(docs: DataFrame, id_col: str = "doc_id", text: str = "text", most: int = 3) -> DataFrame:
     """(id, idx, pos, token, score): up to three telling tokens of each sentence.
 
     Numbers and tokens of five letters or more that are not stop words, by score, then the later position.
-    Everything after the one shuffle by document is window work inside it.
+    One shuffle, of texts by id; a task looks at one document at a time.
     """
-    return _anchors(sentence_tokens(docs, id_col, text), id_col, most).select(id_col, "idx", "pos", "token", "score")
+
+    def work(texts):
+        return [(idx, pos, t, score) for idx, rows in _anchors([sentences for (sentences,) in texts], most).items() for score, pos, t in rows]
+
+    return _map_documents(docs.select(id_col, text), id_col, [_sentence_tokens(text)], "idx int, pos int, token string, score double", work)
 
 
 def ngrams(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -113,26 +155,38 @@ def band_candidates(sentences: DataFrame, words: DataFrame, id_col: str, gap: in
 def anchor_ranges(docs: DataFrame, id_col: str = "doc_id", text: str = "text", reach: int = 500, most: int = 3) -> DataFrame:
     """(id, idx, low, high, n_found): first and last place of a sentence's anchors among the `reach` words from its own start, and how many are there.
 
-    A sentence of more words is looked up in all of its own; one without an anchor in reach has no row. A token's places and the
-    bounds of the sentences that look for it are sorted once each way, so no sentence meets a place in a join. Texts are shuffled
-    once, by id, and both sides stay there.
+    A sentence of more words is looked up in all of its own; one without an anchor in reach has no row. A token's places are sorted, so
+    a sentence finds the first and the last in its range by bisection. Texts are shuffled once, by id; a task looks at one document at a time.
     """
-    asked = _anchors(sentence_tokens(docs, id_col, text), id_col, most)
-    asked = asked.select(id_col, "token", "idx", "start", (F.col("start") + F.greatest("n", F.lit(reach))).alias("stop")).distinct()
-    none = F.lit(None).cast("int")
-    stream = explode_tokens(docs.select(id_col, text).repartition(id_col), id_col, text).where(_may_anchor("token"))
-    places = stream.select(id_col, "token", none.alias("idx"), none.alias("start"), none.alias("stop"), F.col("pos").alias("at"), F.lit(1).alias("turn"))
-    # a bound stands before a place at the same position: places from the start, and places before the stop
-    bounds = asked.withColumn("at", F.explode(F.array("start", "stop"))).withColumn("turn", F.lit(0))
-    rows = places.unionByName(bounds)
-    token, place = _groups(id_col, "token"), F.when(F.col("turn") == 1, F.col("at"))
-    before = F.last(place, ignorenulls=True).over(token.orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0))
-    after = F.last(place, ignorenulls=True).over(token.orderBy(F.desc("at"), F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("before", before).withColumn("after", after).where("turn = 0")
-    low = F.when((F.col("at") == F.col("start")) & (F.col("after") < F.col("stop")), F.col("after"))
-    high = F.when((F.col("at") == F.col("stop")) & (F.col("before") >= F.col("start")), F.col("before"))
-    met = rows.groupBy(id_col, "idx").agg(F.min(low).alias("low"), F.max(high).alias("high"), F.count(low).alias("n_found"))
-    return met.where("n_found > 0")
+
+    def work(texts):
+        sentences, places, sizes = [s for s, _ in texts], {}, {}
+        for _, stream in texts:
+            for at, t in enumerate(stream):
+                places.setdefault(t, []).append(at)
+        if len(texts) > 1:
+            places = {t: sorted(at) for t, at in places.items()}
+        for s in sentences:
+            for idx, t in enumerate(s, start=1):
+                sizes.setdefault(idx, []).append(len(t))
+        out, before, found = [], 0, _anchors(sentences, most)
+        for idx in sorted(sizes):
+            before += sum(sizes[idx])
+            low, high, met = [], [], set()
+            for n in sizes[idx]:
+                start = before - n
+                for t in {t for _, _, t in found[idx]}:
+                    at = places.get(t, ())
+                    first, behind = bisect_left(at, start), bisect_left(at, start + max(n, reach))
+                    if first < behind:
+                        low.append(at[first])
+                        high.append(at[behind - 1])
+                        met.add(t)
+            if met:
+                out.append((idx, min(low), max(high), len(met)))
+        return out
+
+    return _map_documents(docs.select(id_col, text), id_col, [_sentence_tokens(text), tokens(F.col(text)).alias("_tokens")], "idx int, low int, high int, n_found long", work)
 
 
 def vocabulary_matches(vocabulary: DataFrame, cutoff: float = 92.0, longest: int = 26) -> DataFrame:

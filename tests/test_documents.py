@@ -4,7 +4,6 @@ from collections import Counter
 
 import pytest
 from oracle import engine, same_rows
-from pyspark.sql import functions as F
 
 from spanloom.operators import words
 from spanloom.queries import ORACLE_SQL
@@ -27,3 +26,15 @@ def test_timeline_sorts_no_words(spark):
         assert (start, end) == (at, at + 60 * len(word) + 40)
         at = end
     assert len(got) == 305 and {r.doc_id for r in found.collect()} == {1, 4}
+
+
+@pytest.mark.parametrize("name", ["token_idf", "anchors_top3", "anchor_ranges"])
+def test_repeated_ids_and_plans(spark, name):
+    make = {"token_idf": words.token_idf, "anchors_top3": words.anchors, "anchor_ranges": words.anchor_ranges}[name]
+    df = spark.createDataFrame([*TEXTS, (1, "Elephants again, plain. Second sentence stands here.")], "doc_id long, text string")
+    found = make(df)
+    assert steps(found) == Counter(Exchange=1)
+    base = engine("/nowhere")
+    base.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    base.executemany("INSERT INTO documents VALUES (?, ?)", [tuple(r) for r in df.collect()])
+    same_rows(found, base.sql(ORACLE_SQL[name]))

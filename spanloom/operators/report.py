@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.config import Config
+from . import schedule
 
 _READS = ("first", "second", "third", "fourth", "fifth")
 
@@ -40,10 +41,28 @@ def quality(spans: DataFrame, details: DataFrame) -> DataFrame:
 
 def manifest_rows(spans: DataFrame, details: DataFrame, blocks: DataFrame, reads: DataFrame, config: Config = Config()) -> DataFrame:
     """(doc_id, idx, entry): a sentence's part of the manifest. Reads after the fifth have no place in it."""
-    at = lambda i, side: F.get(F.filter("reads", lambda r: r["rep"] == i + 1), F.lit(0))[f"read_{side}_ms"].alias(f"{_READS[i]}_read_{side}")
     listed = reads.groupBy("doc_id", "idx").agg(F.array_sort(F.collect_list(F.struct("rep", "read_start_ms", "read_end_ms"))).alias("reads"))
     timed = blocks.select("doc_id", "idx", "num_repeats", "seconds", "block_end").join(listed, ["doc_id", "idx"], "left")
-    rows = quality(spans, details).join(timed, ["doc_id", "idx"], "left")
+    return _entries(quality(spans, details).join(timed, ["doc_id", "idx"], "left"), config)
+
+
+def own_manifest_rows(spans: DataFrame, config: Config = Config()) -> DataFrame:
+    """manifest_rows() of one aligner's spans with status and score, whose details are its own rows. Blocks and reads are columns of the spans, so nothing is joined."""
+    aligned, fine = F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull(), F.coalesce(F.col("status") == "ok", F.lit(True))
+    # the details of a sentence that isn't fine: their missing score is 0
+    score = F.when(F.col("start_ms").isNotNull(), F.when(fine, 1.0).otherwise(F.coalesce("score", F.lit(0.0)))).otherwise(0.0)
+    note = F.when(F.col("start_ms").isNull(), "alignment failed").when(F.col("status") == "warning", "low score but acceptable").when(F.col("status") == "fallback", "found with fallback search").otherwise("ok")
+    # sentences without a span take no time, and have no block
+    timed = schedule.with_blocks(spans.select(*spans.columns, score.alias("quality_score"), note.alias("quality_note")), config)
+    timed = timed.withColumns({c: F.when(aligned, F.col(c)) for c in ("num_repeats", "seconds", "clip_ms", "block_start", "block_end")})
+    start = lambda rep: (F.col("block_start") + (rep - 1) * (F.col("clip_ms") + config.pause_ms)).cast("long")
+    reads = F.transform(F.sequence(F.lit(1), F.col("num_repeats")), lambda rep: F.struct(rep.alias("rep"), start(rep).alias("read_start_ms"), (start(rep) + F.col("clip_ms")).alias("read_end_ms")))
+    return _entries(timed.withColumn("reads", reads), config)
+
+
+def _entries(rows: DataFrame, config: Config) -> DataFrame:
+    """The entries of rows that have all their columns."""
+    at = lambda i, side: F.get(F.filter("reads", lambda r: r["rep"] == i + 1), F.lit(0))[f"read_{side}_ms"].alias(f"{_READS[i]}_read_{side}")
     found, has = F.col("start_ms").isNotNull(), F.col("block_end").isNotNull()
     entry = F.struct(
         "idx",

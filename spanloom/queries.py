@@ -288,18 +288,12 @@ def avg_quality(spark, sf_dir):
 
 
 def manifest_rows(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    spans = derived_spans(docs)
-    blocks = schedule.with_blocks(schedule.aligned_only(spans))
-    rows = report.manifest_rows(spans, merge.details(spans, "fuzzy"), blocks, schedule.reads(blocks))
+    rows = report.own_manifest_rows(derived_spans(documents(spark, sf_dir)))
     return rows.select("doc_id", "idx", F.to_json("entry").alias("entry"))
 
 
 def manifest_offsets(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    spans = derived_spans(docs)
-    blocks = schedule.with_blocks(schedule.aligned_only(spans))
-    rows = report.manifest_rows(spans, merge.details(spans, "fuzzy"), blocks, schedule.reads(blocks))
+    rows = report.own_manifest_rows(derived_spans(documents(spark, sf_dir)))
     offsets = [F.col(f"entry.output_offsets_ms.{r}_read_{s}").alias(f"{r}_{s}") for r in ("first", "third", "fifth") for s in ("start", "end")]
     return rows.select("doc_id", "idx", "entry.status", F.col("entry.quality.score").alias("score"), F.col("entry.quality.note").alias("note"), *offsets, "entry.num_repeats", "entry.original_duration_seconds")
 

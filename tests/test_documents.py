@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from oracle import engine, same_rows
 
-from spanloom.operators import words
+from spanloom.operators import merge, report, schedule, words
 from spanloom.queries import ORACLE_SQL
 
 TEXTS = [(1, "Plain elephants. Wonderful elephants arrived, 12 of them!"), (2, None), (3, ""), (4, "One " * 300 + "remarkable zebras. Zebras 7 again.")]
@@ -38,3 +38,15 @@ def test_repeated_ids_and_plans(spark, name):
     base.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     base.executemany("INSERT INTO documents VALUES (?, ?)", [tuple(r) for r in df.collect()])
     same_rows(found, base.sql(ORACLE_SQL[name]))
+
+
+def test_own_manifest_is_the_general_one(spark):
+    rows = [(1, 1, "a", 0, 900, "ok", 0.9), (1, 2, "b", None, None, "failed", 0.0), (1, 3, "c", 1000, 9000, "warning", 0.8), (1, 4, "d", 9000, 12345, "fallback", None)]
+    rows += [(2, 1, "e", None, None, "empty", None), (2, 2, "f", 10, None, None, 0.5), (2, 3, "g", 10, 7000, None, 0.5), (3, 1, None, None, None, "failed", None)]
+    spans = spark.createDataFrame(rows, "doc_id long, idx int, text string, start_ms long, end_ms long, status string, score double").selectExpr("*", "'why' note", "'fuzzy' method")
+    blocks = schedule.with_blocks(schedule.aligned_only(spans))
+    general = report.manifest_rows(spans, merge.details(spans, "fuzzy"), blocks, schedule.reads(blocks))
+    own = report.own_manifest_rows(spans)
+    assert sorted(own.collect(), key=repr) == sorted(general.collect(), key=repr)
+    assert own.schema["entry"].dataType.simpleString() == general.schema["entry"].dataType.simpleString()
+    assert own._jdf.queryExecution().executedPlan().toString().count("Join") == 0

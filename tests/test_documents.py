@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from oracle import engine, same_rows
 
-from spanloom.operators import merge, report, schedule, words
+from spanloom.operators import merge, report, schedule, splitter, words
 from spanloom.queries import ORACLE_SQL
 
 TEXTS = [(1, "Plain elephants. Wonderful elephants arrived, 12 of them!"), (2, None), (3, ""), (4, "One " * 300 + "remarkable zebras. Zebras 7 again.")]
@@ -50,3 +50,14 @@ def test_own_manifest_is_the_general_one(spark):
     assert sorted(own.collect(), key=repr) == sorted(general.collect(), key=repr)
     assert own.schema["entry"].dataType.simpleString() == general.schema["entry"].dataType.simpleString()
     assert own._jdf.queryExecution().executedPlan().toString().count("Join") == 0
+
+
+def test_training_takes_texts_apart_once(spark):
+    df = spark.createDataFrame([(1, "Mr. Smith came. He saw mr. Smith. Then he left. The dog of Smith stayed."), (2, None), (3, "One two. Three")], "doc_id long, text string")
+    learned = splitter.train(df)
+    for table in (learned.abbreviations, learned.collocations, learned.starters, learned.cases):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "Window" not in plan
+    assert steps(splitter.marked_words(df))["Window"] == 0
+    got = {r.type: (r.lower, r.inside) for r in learned.cases.collect()}
+    assert got["smith"] == (False, True) and got["he"] == (True, False)

@@ -36,10 +36,10 @@ def token_idf(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
         every = sum(n.values())
         return [(t, 1.0 / (1.0 + k / every)) for t, k in n.items()]
 
-    return _map_documents(docs.select(id_col, text), id_col, [tokens(F.col(text)).alias("_tokens")], "token string, idf double", count)
+    return map_documents(docs.select(id_col, text), id_col, [tokens(F.col(text)).alias("_tokens")], "token string, idf double", count)
 
 
-def _map_documents(docs: DataFrame, id_col: str, columns: list, schema: str, work) -> DataFrame:
+def map_documents(docs: DataFrame, id_col: str, columns: list, schema: str, work) -> DataFrame:
     """(id, columns of schema): the rows that work() gives for each id's list of tuples of columns, a tuple a text. Texts are shuffled and sorted by id; a task
     holds one id's values and one Arrow batch."""
     import pyarrow as pa
@@ -106,7 +106,7 @@ def anchors(docs: DataFrame, id_col: str = "doc_id", text: str = "text", most: i
     def work(texts):
         return [(idx, pos, t, score) for idx, rows in _anchors([sentences for (sentences,) in texts], most).items() for score, pos, t in rows]
 
-    return _map_documents(docs.select(id_col, text), id_col, [_sentence_tokens(text)], "idx int, pos int, token string, score double", work)
+    return map_documents(docs.select(id_col, text), id_col, [_sentence_tokens(text)], "idx int, pos int, token string, score double", work)
 
 
 def ngrams(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -186,7 +186,7 @@ def anchor_ranges(docs: DataFrame, id_col: str = "doc_id", text: str = "text", r
                 out.append((idx, min(low), max(high), len(met)))
         return out
 
-    return _map_documents(docs.select(id_col, text), id_col, [_sentence_tokens(text), tokens(F.col(text)).alias("_tokens")], "idx int, low int, high int, n_found long", work)
+    return map_documents(docs.select(id_col, text), id_col, [_sentence_tokens(text), tokens(F.col(text)).alias("_tokens")], "idx int, low int, high int, n_found long", work)
 
 
 def vocabulary_matches(vocabulary: DataFrame, cutoff: float = 92.0, longest: int = 26) -> DataFrame:

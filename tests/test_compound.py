@@ -43,3 +43,44 @@ def test_compound_matches(spark):
     got = rows(compound.compound_matches(tokens, spark.createDataFrame(runs, "doc_id long, pos int, two string, three string")))
     # of numbers only the digits count: "down1912" and "1912kilo" match too
     assert got == [(1, "19-12", 7, 3), (1, "19-12", 8, 2), (1, "19-12", 8, 3), (1, "icebreaker", 1, 2), (1, "kilometres", 10, 2), (1, "unremarkably", 4, 3)]
+
+
+def test_texts_are_dealt_out_once(spark):
+    """Runs and what is left of them aren't shuffled: one exchange, of texts, no join and nothing exploded before it."""
+    from spanloom import queries
+
+    plan = queries.compound_matches(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Generate" not in plan
+
+
+def test_text_compounds(spark):
+    rng = random.Random(3)
+    texts = [(i % 7, " ".join(t for t in odd_tokens(rng, 12) if t)) for i in range(7)] + [(7, None), (8, ""), (9, "wonderful"), (None, "ice breaker icebreaker"), (10, "Icebreakers saw ice breakers. Un-remarkable un remark able kilometer kilo metres nineteentwelve 19 12 1912000000 1,912")]
+    # an id's two texts share their tokens, but no run passes from one to the other
+    texts += [(11, "the icebreaker ice"), (11, "breaker deep ice breaker")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = rows(compound.text_compounds(docs))
+    split = [(r.doc_id, r.t) for r in docs.select("doc_id", compound.tokens(F.col("text")).alias("t")).collect()]
+    want = [
+        (i, token, pos, size)
+        for i, words in split
+        if i is not None
+        for token in {t for j, other in split if i == j for t in other if len(t) > 8}
+        for size in (2, 3)
+        for pos in range(len(words) - size + 1)
+        if tokens_match(token, "".join(words[pos : pos + size]), 92.0)
+    ]
+    assert got == sorted(want, key=repr) and {(10, "icebreakers", 2, 2), (10, "kilometer", 9, 2), (11, "icebreaker", 2, 2)} <= set(got) and (11, "icebreaker", 0, 2) not in got
+
+
+def test_matches_in_parts(monkeypatch):
+    """Runs and places are looked at in parts of any size."""
+    rng = random.Random(5)
+    made = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 30))) for _ in range(150)]
+    asked, runs = sorted({*made[:70], *(m[1:] for m in made[70:])}), sorted({*made[60:], *(m[:-1] for m in made[:60])})
+    for cutoff in (50.0, 80.0, 92.0, 100.0, 101.0):
+        want = {(a, b) for a in asked for b in runs if tokens_match(a, b, cutoff)}
+        for runs_at_once, places in ((compound.RUNS, compound.PLACES), (7, 1), (1, 50)):
+            monkeypatch.setattr(compound, "RUNS", runs_at_once)
+            monkeypatch.setattr(compound, "PLACES", places)
+            assert compound.matches(asked, runs, cutoff) == want

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
+import threading
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +25,8 @@ HOT_SHARE = 1000
 FEW_ROWS = 200_000
 #: Rows of an Arrow batch, where the session has the usual 10000.
 ROWS_A_BATCH = 2000
+#: Seconds without use after which a Python worker gives up what it keeps from task to task.
+IDLE_S = 3
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -94,6 +101,40 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(ROWS_A_BATCH))
 
 
+class Kept:
+    """make(key), kept in a Python worker from task to task, and given up after IDLE_S seconds without use.
+
+    Workers outlive the stage: what they held on to would be lacking in all later stages of the session, those without Python too.
+    A task that still holds the value goes on with it.
+    """
+
+    def __init__(self, make: Callable):
+        self.make, self.key, self.value, self.used, self.lock = make, None, None, 0.0, threading.Lock()
+
+    def get(self, key):
+        with self.lock:
+            if self.value is None or self.key != key:
+                if self.value is None:
+                    threading.Thread(target=self._watch, daemon=True).start()
+                self.key, self.value = key, self.make(key)
+            self.used = time.monotonic()
+            return self.value
+
+    def touch(self) -> None:
+        self.used = time.monotonic()
+
+    def _watch(self) -> None:
+        while True:
+            with self.lock:
+                left = self.used + IDLE_S - time.monotonic()
+                if left <= 0:
+                    self.key = self.value = None
+                    break
+            time.sleep(left)
+        with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, make) -> DataFrame:
     """mapInArrow over columns: make() gives, once a task, a function from a tuple of column lists to output column lists."""
     import pyarrow as pa

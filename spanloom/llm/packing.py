@@ -13,7 +13,6 @@ an empty table gives no rows; a very long text is cut like any other; columns be
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -21,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, staged
+from .common import Kept, map_rows, staged
 
 CAPACITY = 4096
 #: Parts that the pieces of one length are numbered in.
@@ -163,9 +162,9 @@ class ChunkMemory(dict):
             self[chunk] = self.words[found[0]] if len(found) == 1 else b"".join(map(self.words.__getitem__, found))
         for text, ids in self._encode(list(whole)).items():
             self[whole[text]] = ids
+        _kept.touch()
 
 
-@lru_cache(maxsize=2)
 def _tokenizer(path: str):
     import os
 
@@ -177,10 +176,12 @@ def _tokenizer(path: str):
     return found
 
 
-@lru_cache(maxsize=1)
+_kept = Kept(lambda path: ChunkMemory(_tokenizer(path)))
+
+
 def _memory(path: str) -> ChunkMemory:
-    """One memory for all tasks that a worker runs."""
-    return ChunkMemory(_tokenizer(path))
+    """One memory for all tasks that a worker runs, until it is idle."""
+    return _kept.get(path)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, closing: int = 1, id_col: str = "doc_id", text: str = "text") -> DataFrame:

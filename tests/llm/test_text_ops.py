@@ -2,12 +2,14 @@ import base64
 import hashlib
 import random
 import re
+import time
+import weakref
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import byte_bpe, packing, pii, quality_rules, token_counts
+from spanloom.llm import byte_bpe, common, packing, pii, quality_rules, token_counts
 
 from .conftest import ODD, documents
 
@@ -332,6 +334,27 @@ def test_packing(spark, vocabulary_file):
     assert packing.best_fit_packing(df.limit(0), path).count() == 0
 
 
+def test_an_idle_worker_gives_up_its_token_memory(vocabulary_file, monkeypatch):
+    pytest.importorskip("tokenizers")
+    monkeypatch.setattr(common, "IDLE_S", 2)
+    path = vocabulary_file("word_bpe_49k.json")
+    memory = packing._memory(path)
+    end = time.monotonic() + 4
+    while time.monotonic() < end:  # in use for longer than it may be idle
+        memory.fill({b"a", b"Wort"})
+        time.sleep(0.1)
+    assert packing._memory(path) is memory
+    ids, held = memory[b"Wort"], weakref.ref(memory)
+    del memory
+    end = time.monotonic() + 20
+    while held() is not None and time.monotonic() < end:
+        time.sleep(0.1)
+    assert held() is None
+    again = packing._memory(path)
+    again.fill({b"Wort"})
+    assert again[b"Wort"] == ids
+
+
 @pytest.mark.parametrize("part", ["a dot ", "a@b.co john (at) xy (dot) com ; ", "x at ", "[", "a [", "x (at) a dot ", "one ", "1", "1.", "1 . ", "1[", "1 dot ", "+1 "])
 def test_pii_takes_time_in_proportion(part):
     import time
